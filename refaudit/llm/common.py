@@ -43,15 +43,15 @@ def spread(n_rows: int, low: int = 1) -> int:
     return max(low, int(max(n_rows, 1) ** 0.5))
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, cells: int, cell_hash: str) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, cells: int, cell_hash: str, first: Column | None = None) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the same keys that come before, without ever gathering a key.
 
-    Rows are ordered by a cell (the top of the 64-bit `cell_hash`), then `order`. Sums within a cell come from a window over
+    Rows are ordered by `first` (an int of few values, if given), by a cell of the 64-bit `cell_hash`, then by `order`. Sums within a cell come from a window over
     (keys, cell); the cells' own offsets from a window over the small table of sums per cell. Rows that tie in all of
     `order` are interchangeable.
     """
-    cell = F.pmod(F.shiftrightunsigned(F.col(cell_hash), 20), F.lit(cells)).cast("int")
-    df = df.withColumn("_cell", cell)
+    cell = F.pmod(F.shiftrightunsigned(F.col(cell_hash), 20), F.lit(cells))
+    df = df.withColumn("_cell", cell if first is None else cell + first.cast("long") * cells)
     sums = df.groupBy(*keys, "_cell").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_c"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))

@@ -23,6 +23,28 @@ def _remainder(n: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(-1))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, taken_words
+
+    return taken_words(*mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    text = F.col("text")
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("_text"),
+        text.isNotNull().alias("_known"),
+    )
+    docs = docs.withColumn("_text", F.when(F.col("_known"), F.col("_text"))).drop("_known")
+    out = shard(docs, ["_text", "text_crc32", "size"], shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import count_tokens
 
@@ -49,11 +71,20 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_groups
+
+    return near_groups(_table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_sharding": op2_sharding,
     "op5_token_counts": op5_token_counts,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language": op9_language,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
