@@ -73,6 +73,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _vocab("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import DELETED, KEPT, TEST, score_texts
+
+    part = F.when(_remainder(7) == 2, TEST).when(_remainder(7) == 3, DELETED).otherwise(KEPT)
+    scores, _ = score_texts(_table(spark, sf_dir, "documents"), part)
+    return scores.select("doc_id", (F.col("part") == TEST).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -105,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_top_k": op3_top_k,
     "op4_url_filter": op4_url_filter,
     "op5_token_counts": op5_token_counts,
+    "op6_lm_score": op6_lm_score,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language": op9_language,
