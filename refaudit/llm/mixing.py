@@ -74,17 +74,18 @@ def schedule(plan: DataFrame, n_slots: int) -> DataFrame:
     return kept.union(added.select((F.lit(n_slots) + F.col("rank")).alias("slot"), "source", "rank"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shuffle_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(laid, taken): `laid` has a row per document: doc_id, source, size (words), start (its first word's place in its
     source's stream), source_size, target. `taken` has a row per stretch of a document that a slot takes: slot, rank,
     doc_id, source, start, size, first_word, n_words; read by slot, it is the mix.
 
     The last block of a source's last pass is cut where the target is reached, so a source's taken words are its target
-    without the fraction, and no document is taken more than `most` times. A null source is a source; null and empty texts
+    without the fraction, and no document is taken more than `most` times. Documents are shuffled
+    by the hash of shuffle_col (the id unless given). A null source is a source; null and empty texts
     have no words and are never taken; a null id is hashed like a value; repeated rows are laid out one after another and
     rows that tie in hash, id and size are interchangeable. No rows, or no words, give no slots.
     """
-    h = F.xxhash64(F.col(id_col), F.lit("mix"))
+    h = F.xxhash64(F.col(shuffle_col or id_col), F.lit("mix"))
     slim = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), h.alias("_h")))
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, share, most)
