@@ -21,7 +21,8 @@ SAME_COLUMN = 0.2
 HANGING_INDENT = 8
 MIN_WORDS, MIN_GROUPS, COVERAGE = 8, 3, 0.8
 
-PAGE = Window.partitionBy("doc_id", "page_no")
+def _page():
+    return Window.partitionBy("doc_id", "page_no")
 
 
 def is_reference_start(c: Column, style: Column | None = None) -> Column:
@@ -48,7 +49,7 @@ def in_body(blocks: DataFrame) -> DataFrame:
 
 def beside_heading(blocks: DataFrame) -> DataFrame:
     """On a page whose first heading stands in the right column: what is above it, or in that column."""
-    first = F.min(F.when(is_heading(F.col("text")), F.struct("block_no", "x0", "y0"))).over(PAGE)
+    first = F.min(F.when(is_heading(F.col("text")), F.struct("block_no", "x0", "y0"))).over(_page())
     b = blocks.withColumn("_h", first)
     right = F.col("_h.x0") > F.col("page_width") * RIGHT_HEADING
     keep = (F.col("y0") < F.col("_h.y0")) | (F.col("x0") >= F.col("page_width") / 2 - COLUMN_MARGIN)
@@ -65,7 +66,7 @@ def with_columns(blocks: DataFrame) -> DataFrame:
     """blocks with col_no (0 or 1): split in the middle of the widest gap between the starts of reference-like blocks, if
     that is at least a fifth of the page."""
     like = is_reference_start(F.col("text")) | has_inline_start(F.col("text"))
-    b = blocks.withColumn("_starts", F.array_sort(F.collect_list(F.when(like, F.col("x0"))).over(PAGE)))
+    b = blocks.withColumn("_starts", F.array_sort(F.collect_list(F.when(like, F.col("x0"))).over(_page())))
     b = b.withColumn("_gap", largest_gap(F.col("_starts")))
     split = F.when(F.col("_gap.gap") >= F.col("page_width") * COLUMN_GAP, (F.get("_starts", F.col("_gap.i")) + F.get("_starts", F.col("_gap.i") + 1)) / 2)
     return b.withColumn("col_no", F.coalesce((F.col("x0") >= split).cast("int"), F.lit(0))).drop("_starts", "_gap")
@@ -74,7 +75,7 @@ def with_columns(blocks: DataFrame) -> DataFrame:
 def ordered_blocks(blocks: DataFrame) -> DataFrame:
     """Body blocks with col_no and pos, their place in the page's reading order (from 1)."""
     b = with_columns(beside_heading(in_body(blocks)))
-    return b.withColumn("pos", F.row_number().over(PAGE.orderBy("col_no", "y0", "x0", "block_no")))
+    return b.withColumn("pos", F.row_number().over(_page().orderBy("col_no", "y0", "x0", "block_no")))
 
 
 def ordered_lines(lines: DataFrame) -> DataFrame:
