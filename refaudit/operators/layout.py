@@ -92,25 +92,34 @@ def texts_in_order(blocks: DataFrame, by: list[str]) -> DataFrame:
     return blocks.groupBy(*by).agg(F.transform(order, lambda x: x["text"]).alias("texts"))
 
 
-def marker_style(texts: Column) -> Column:
+def style_of(pieces: Column) -> Column:
     """'bracket' or 'numeric' if at least two pieces start so (brackets first), else 'any'."""
-    pieces = F.flatten(F.transform(texts, lambda x: split_inline(repair_wrapping(x))))
     count = lambda p: F.size(F.filter(pieces, lambda x: x.rlike(p)))
     return F.when(count(P.BRACKET_MARKER) >= 2, "bracket").when(count(P.NUMBER_MARKER) >= 2, "numeric").otherwise("any")
 
 
-def reference_groups(texts: Column, style: Column, heading_seen: bool = False) -> Column:
-    """Groups of pieces, one per reference: after the heading (or from the start), up to the next section, cut at inline
-    markers, each group beginning at a marker of the style; pieces before the first are dropped."""
-    fixed = F.filter(F.transform(texts, repair_wrapping), lambda x: x != "")
-    if not heading_seen:
-        at = F.array_position(F.transform(fixed, is_heading), F.lit(True)).cast("int")
-        fixed = F.when(at > 0, F.slice(fixed, at + 1, F.greatest(F.size(fixed), F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    stop = F.array_position(F.transform(fixed, lambda x: x.rlike(P.STOP_BLOCK)), F.lit(True)).cast("int")
-    section = F.when(stop > 0, F.slice(fixed, F.lit(1), stop - 1)).otherwise(fixed)
-    pieces = F.filter(F.flatten(F.transform(section, split_inline)), lambda x: x != "")
-    groups = islands(pieces, lambda x: is_reference_start(x, style), lambda x: F.lit(False), False)
-    return F.transform(groups, repair_wrapping)
+def marker_style(texts: Column) -> Column:
+    return style_of(F.flatten(F.transform(texts, lambda x: split_inline(repair_wrapping(x)))))
+
+
+def with_groups(df: DataFrame, texts: str = "texts") -> DataFrame:
+    """df with `groups`, one text per reference, and `groups_all`, the same as if the heading stood before everything.
+
+    Groups come from what follows the heading, up to the next section, cut at inline markers; each begins at a marker of the
+    document's style, and pieces before the first are dropped. Layers of columns, so that each text is repaired once.
+    """
+    none = F.array().cast("array<string>")
+    df = df.withColumn("_fixed", F.filter(F.transform(texts, lambda x: repair_wrapping(x)), lambda x: x != ""))
+    df = df.withColumns({"_cut": F.transform("_fixed", lambda x: split_inline(x)), "_stop": F.transform("_fixed", lambda x: x.rlike(P.STOP_BLOCK)), "_from": F.array_position(F.transform("_fixed", is_heading), F.lit(True)).cast("int")})
+    df = df.withColumn("_style", style_of(F.flatten("_cut")))
+    after = lambda c, n: F.slice(c, n + 1, F.greatest(F.size(c), F.lit(1)))
+    for out, start in (("groups", F.col("_from")), ("groups_all", F.lit(0))):
+        df = df.withColumns({"_c": after(F.col("_cut"), start), "_to": F.array_position(after(F.col("_stop"), start), F.lit(True)).cast("int")})
+        df = df.withColumn("_p", F.filter(F.flatten(F.when(F.col("_to") > 0, F.slice("_c", F.lit(1), F.col("_to") - 1)).otherwise(F.col("_c"))), lambda x: x != ""))
+        df = df.withColumn("_i", islands(F.col("_p"), lambda x: is_reference_start(x, F.col("_style")), lambda x: F.lit(False), False))
+        own = F.transform("_i", lambda x: repair_wrapping(x))
+        df = df.withColumn(out, own if out == "groups_all" else F.when(F.col("_from") > 0, own).otherwise(none)).drop("_c", "_to", "_p", "_i")
+    return df.drop("_fixed", "_cut", "_stop", "_from", "_style")
 
 
 def merged(groups: Column) -> Column:
@@ -131,12 +140,12 @@ def is_full_numbering(numbers: Column) -> Column:
     return (F.size(numbers) >= 3) & F.forall(numbers, lambda n: n.isNotNull()) & (F.size(F.array_distinct(numbers)) == F.size(numbers)) & (F.size(numbers) / span >= COVERAGE)
 
 
-def sorted_groups(groups: Column) -> Column:
-    """Merged groups, by number if the numbering is full."""
-    own = merged(groups)
-    keyed = F.transform(own, lambda g: F.struct(reference_number(g).alias("n"), g.alias("g")))
-    full = is_full_numbering(F.transform(keyed, lambda x: x["n"]))
-    return F.when(F.coalesce(full, F.lit(False)), F.transform(F.array_sort(keyed), lambda x: x["g"])).otherwise(own)
+def with_sorted_groups(df: DataFrame, groups: str, out: str) -> DataFrame:
+    """df with `out`: merged groups, by number if the numbering is full."""
+    df = df.withColumn("_own", merged(F.col(groups)))
+    df = df.withColumn("_keyed", F.transform("_own", lambda g: F.struct(reference_number(g).alias("n"), g.alias("g"))))
+    df = df.withColumn("_full", F.coalesce(is_full_numbering(F.transform("_keyed", lambda x: x["n"])), F.lit(False)))
+    return df.withColumn(out, F.when(F.col("_full"), F.transform(F.array_sort("_keyed"), lambda x: x["g"])).otherwise(F.col("_own"))).drop("_own", "_keyed", "_full")
 
 
 def unnumbered_groups(lines: DataFrame) -> DataFrame:
@@ -167,10 +176,10 @@ def page_texts(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id, page_no, text for pages (doc_id, page_no, plain): the page's own groups; else its lines, numbered ones first
     if there are three; the plain text where no block is left."""
     own = texts_in_order(blocks, ["doc_id", "page_no"])
-    own = own.withColumn("_g", reference_groups(F.col("texts"), marker_style(F.col("texts"))))
+    own = with_sorted_groups(with_groups(own), "groups", "_g")
     numbered, others = F.filter("texts", lambda x: x.rlike(P.NUMBERED_LINE)), F.filter("texts", lambda x: ~x.rlike(P.NUMBERED_LINE))
     lines = F.when(F.size(numbered) >= MIN_GROUPS, F.concat(numbered, others)).otherwise(F.col("texts"))
-    own = own.withColumn("_t", F.when(F.size("_g") > 0, F.array_join(sorted_groups(F.col("_g")), "\n\n")).otherwise(F.array_join(lines, "\n")))
+    own = own.withColumn("_t", F.when(F.size("_g") > 0, F.array_join("_g", "\n\n")).otherwise(F.array_join(lines, "\n")))
     return pages.join(own.select("doc_id", "page_no", "_t"), ["doc_id", "page_no"], "left").select("doc_id", "page_no", F.coalesce("_t", "plain", F.lit("")).alias("text"))
 
 
@@ -178,11 +187,11 @@ def document_texts(pages: DataFrame, blocks: DataFrame, lines: DataFrame) -> Dat
     """doc_id, tier, text: numbered groups after the heading; if fewer than three, as if the heading had been seen; if still
     fewer, unnumbered groups instead; if there are none at all, the pages' texts."""
     body = ordered_blocks(blocks)
-    docs = texts_in_order(body, ["doc_id"]).withColumn("_style", marker_style(F.col("texts")))
-    docs = docs.withColumn("_g1", reference_groups(F.col("texts"), F.col("_style"))).withColumn("_g2", reference_groups(F.col("texts"), F.col("_style"), True))
+    docs = with_groups(texts_in_order(body, ["doc_id"]))
+    docs = with_sorted_groups(with_sorted_groups(docs, "groups", "_s1"), "groups_all", "_s2").withColumnsRenamed({"groups": "_g1", "groups_all": "_g2"})
     own = page_texts(pages, body).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n\n").alias("_pages"))
-    all_ = own.join(docs.select("doc_id", "_g1", "_g2"), "doc_id", "left").join(unnumbered_groups(lines), "doc_id", "left")
+    all_ = own.join(docs.select("doc_id", "_g1", "_g2", "_s1", "_s2"), "doc_id", "left").join(unnumbered_groups(lines), "doc_id", "left")
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     tier = F.when(size("_g1") >= MIN_GROUPS, 1).when(size("_g2") >= MIN_GROUPS, 2).when(size("groups") > 0, 3).otherwise(4)
-    text = F.when(F.col("tier") == 1, F.array_join(sorted_groups(F.col("_g1")), "\n\n")).when(F.col("tier") == 2, F.array_join(sorted_groups(F.col("_g2")), "\n\n")).when(F.col("tier") == 3, F.array_join("groups", "\n\n")).otherwise(F.col("_pages"))
+    text = F.when(F.col("tier") == 1, F.array_join("_s1", "\n\n")).when(F.col("tier") == 2, F.array_join("_s2", "\n\n")).when(F.col("tier") == 3, F.array_join("groups", "\n\n")).otherwise(F.col("_pages"))
     return all_.withColumn("tier", tier).select("doc_id", "tier", text.alias("text"))

@@ -166,7 +166,7 @@ def srt02_sort(spark, d):
     li = table(spark, d, "lineitem")
     text = F.concat(F.lit("["), F.col("l_linenumber").cast("string"), F.lit("] part "), F.col("l_partkey").cast("string"))
     g = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("l_partkey"), text.alias("t")))), lambda x: x["t"]).alias("groups"))
-    return g.select("doc_id", F.array_join(L.sorted_groups(F.col("groups")), "\n").alias("sorted"))
+    return L.with_sorted_groups(g, "groups", "sorted").select("doc_id", F.array_join("sorted", "\n").alias("sorted"))
 
 
 def agg04_style(spark, d):
