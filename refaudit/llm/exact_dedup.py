@@ -36,8 +36,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = base.groupBy(size.alias("_n"), head.alias("_p")).agg(F.count("*").alias("_c"))
     shared = written(same.where("_c > 1").select("_n", "_p"))
     slim = base.withColumns({"_n": size, "_p": head, "text_sha256": F.sha2("_b", 256)})
-    # The texts stream past the shared keys without being sorted, by the same plan at every size.
-    keys = shared.withColumnsRenamed({"_n": "_n2", "_p": "_p2"}).withColumn("_hit", F.lit(True)).hint("shuffle_hash")
+    # The same plan at every size; a merge join spills where a hash join would have to hold its side in memory.
+    keys = shared.withColumnsRenamed({"_n": "_n2", "_p": "_p2"}).withColumn("_hit", F.lit(True)).hint("merge")
     joined = slim.join(keys, (F.col("_n") == F.col("_n2")) & (F.col("_p") == F.col("_p2")), "left")
     # Written with an own number for each row: what follows refers to rows by it. A row that is alone drops its text.
     alone = F.col("_hit").isNull()
