@@ -140,4 +140,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY z) AS group_size,
                doc_id = first_value(doc_id) OVER w AS kept, sha256(z) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY z ORDER BY n DESC, doc_id)""",
+    "op10_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+             s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+                                                            WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS sh FROM w),
+             n AS (SELECT d.doc_id, count(sh) AS n FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+             l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+             r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT doc_id, any_value(n) AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept FROM n JOIN r ON a = doc_id GROUP BY doc_id""",
 }
