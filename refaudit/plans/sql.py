@@ -55,7 +55,7 @@ _W = "w.title AS w_title, w.authors AS w_authors, w.container AS w_container, w.
 _BY_DOI = _BASE + _score(f"SELECT p.*, {_W} FROM parts p JOIN works w ON p.ref_doi = w.doi")
 _CANDIDATES = _BASE + f""",
 post AS (SELECT doi, len(s) AS size, unnest(s) AS token FROM (SELECT doi, {_set("concat_ws(' ', title, authors, container, CAST(year AS VARCHAR))")} AS s FROM works)),
-usable AS (SELECT * FROM post WHERE token IN (SELECT token FROM post GROUP BY token HAVING count(*) <= 10000)),
+usable AS (SELECT * FROM post WHERE token IN (SELECT token FROM post GROUP BY token HAVING count(*) <= 1000)),
 hits AS (SELECT a.doc_id, a.ref_no, u.doi, count(*) AS shared, any_value(u.size) AS size
   FROM (SELECT doc_id, ref_no, unnest({_set("reference")}) AS token FROM parts WHERE ref_doi IS NULL) a JOIN usable u USING (token) GROUP BY ALL),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ref_no ORDER BY shared DESC, size, doi) AS ord FROM hits) WHERE ord <= 8)"""
