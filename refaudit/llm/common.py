@@ -38,6 +38,12 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def each(column, step: int = 256):
+    """The values of an Arrow column, made into Python objects a few at a time: texts of a batch are never all there twice."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
 def spread(n_rows: int, low: int = 1) -> int:
     """Number of cells that n_rows are dealt to: the square root, so that both a cell and the table of cells stay small."""
     return max(low, int(max(n_rows, 1) ** 0.5))

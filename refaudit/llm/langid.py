@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import each
+
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Odd multipliers for the n-gram hash (any odd numbers do).
@@ -62,7 +64,7 @@ def train(docs: DataFrame, bits: int = 15, sizes: tuple[int, ...] = (1, 2, 3), s
         counts: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for lang, text in zip(b.column(0).to_pylist(), each(b.column(1)), strict=True):
                 c = counts.setdefault(lang, np.zeros(1 << bits, np.int64))
                 seen[lang] = seen.get(lang, 0) + 1
                 for k in buckets(_codes(text), bits, sizes):
@@ -125,8 +127,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            langs, best = score(m, b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(best)], [*b.schema.names, "lang_pred", "score"])
+            langs, best = [], []
+            for i in range(0, b.num_rows, 256):
+                some, posterior = score(m, b.column(at).slice(i, 256).to_pylist())
+                langs += some
+                best.append(posterior)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(best) if best else [], pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 

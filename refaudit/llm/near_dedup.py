@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, written
+from .common import connected, each, written
 from .shingles import WordHashes, mix64, shingle_set
 
 BITS, MANTISSA = 7, 10
@@ -107,7 +107,7 @@ def sketches(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
         words = WordHashes()
         for b in batches:
             size, digest, regs = [], [], []
-            for text in b.column(2).to_pylist():
+            for text in each(b.column(2)):
                 s = shingle_set(words.of(text or ""), n)
                 size.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -155,7 +155,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in batches:
-            found = [shingle_set(words.of(x or ""), n).tobytes() for x in b.column(1).to_pylist()]
+            found = [shingle_set(words.of(x or ""), n).tobytes() for x in each(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["_row", "set"])
 
     text = F.col(text_col).cast("string")

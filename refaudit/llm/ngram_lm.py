@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import each, written
 from .shingles import WordHashes, mix64
 
 #: No word holds a space, so these name no word.
@@ -49,7 +49,7 @@ def _blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
         for b in batches:
-            for i, p, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, p, text in zip(*(each(c) for c in b.columns), strict=True):
                 t = np.append(known.of(text or ""), END)
                 held[p][0].append(i)
                 held[p][1].append(t)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import each, written
 from .tokens import encoder
 
 
@@ -57,7 +57,7 @@ def cut(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_co
         last = np.asarray([end_id], "<u4")
         for b in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, text in enumerate(pc.fill_null(b.column(1), "").to_pylist()):
+            for i, text in enumerate(each(pc.fill_null(b.column(1), ""))):
                 ids = np.concatenate([enc.ids(text).astype("<u4", copy=False), last])
                 raw, at, k = memoryview(ids.tobytes()), 0, 0
                 end = len(ids) % capacity or capacity

@@ -18,7 +18,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; forgets everything when it holds `most` words, so that memory stays bounded."""
 
-    def __init__(self, most: int = 1 << 19):
+    def __init__(self, most: int = 1 << 17):
         super().__init__()
         self._most = most
 

@@ -150,7 +150,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         enc = encoder(path)
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
-            counts = pa.array(enc.count(texts.to_pylist(), batch_bytes), pa.int64())
+            counts = pa.array([n for at in range(0, len(texts), 1024) for n in enc.count(texts.slice(at, 1024).to_pylist(), batch_bytes)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pc.cast(pc.binary_length(texts), pa.int64()), counts], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = dict(docs.dtypes)[id_col]
