@@ -1,8 +1,11 @@
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from refaudit.functions import text as T
 from refaudit.operators import audit as A
 from refaudit.operators import match as J
 from refaudit.sources import lookup as H
@@ -107,3 +110,41 @@ def test_fetch_retries_and_gives_up(spark):
 def test_config_rejects_bad_numbers():
     with pytest.raises(ValueError):
         H.Config(retries="many")
+
+
+WORK = CAND[7:-1].replace(":", " ")
+
+
+def _by_brute_force(refs, works, k):
+    """(ref, place): doi, by counting every pair."""
+    tokens = lambda x: set(re.findall("[a-z0-9]+", x.lower()))
+    held = [(w[1], tokens(" ".join(str(x) for x in (w[2], w[3], w[4], w[5]) if x is not None))) for w in works]
+    out = {}
+    for i, text in refs:
+        own = tokens(text)
+        order = sorted((-len(own & t), len(t), doi) for doi, t in held if own & t)
+        out |= {(i, n): doi for n, (_, _, doi) in enumerate(order[:k], 1)}
+    return out
+
+
+def test_candidates_share_words_that_most_works_hold(spark):
+    """The work that shares most tokens, all of them held by more than 1000 works, comes first."""
+    works = [cand(doi=f"10.1/{i:05d}", title="red blue" if i % 2 else "red green", authors="A. Ink") for i in range(2400)] + [cand(doi="10.1/z", title="red blue green", authors="A. Ink"), cand(doi="10.1/rare", title="odd")]
+    refs = spark.createDataFrame([(1, "Ink, A. red blue green odd")], "id int, reference string").withColumn("ref_tokens", T.token_set(F.col("reference")))
+    got = J.candidates(refs, spark.createDataFrame(works, WORK), ["id"]).orderBy("ord").select("cand.doi").collect()
+    assert [r.doi for r in got] == ["10.1/z", *[f"10.1/{i:05d}" for i in range(7)]]
+
+
+def test_candidates_against_brute_force(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    pick = lambda n: " ".join(words[min(59, int(r.expovariate(0.12)))] for _ in range(n))
+    works = [cand(doi=f"10.1/{i}", title=pick(r.randint(1, 9)) + (f" n{i}" if i % 3 else ""), authors=pick(1), year=r.choice([None, 2019, 2020])) for i in range(700)]
+    refs = [(i, pick(r.randint(1, 12)) + f" 2019 n{r.randint(0, 900)}") for i in range(120)] + [(200, " ".join(f"n{i}" for i in range(300)) + " 2020 w0 w1"), (201, "nothing"), (202, "")]
+    refs += [(300 + i, " ".join(works[i][2].split()[-1:])) for i in range(20)]
+    asked = spark.createDataFrame(refs, "id int, reference string").withColumn("ref_tokens", T.token_set(F.col("reference")))
+    twice = spark.createDataFrame(works + works[:50], WORK)
+    want = _by_brute_force(refs, works, 8)
+    for sizes in ({}, {"block": 100, "chunk": 40}):
+        got = {(x.id, x.ord): x.doi for x in J.candidates(asked, twice, ["id"], **sizes).select("id", "ord", "cand.doi").collect()}
+        assert got == want
