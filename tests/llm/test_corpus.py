@@ -14,7 +14,7 @@ from refaudit.llm.common import running
 from refaudit.llm.exact_dedup import exact_groups
 from refaudit.llm.mixing import mix, schedule, taken_words, targets
 from refaudit.llm.near_dedup import collisions, estimate, near_groups, registers
-from refaudit.llm.sharding import shard
+from refaudit.llm.sharding import propagate, shard
 from refaudit.llm.shingles import WordHashes, shingle_set
 from refaudit.llm.topk import top_k
 from refaudit.llm.url_filter import judge
@@ -104,6 +104,24 @@ def test_shards(spark):
     assert len({r.shard for r in groups["big"]}) <= 5  # at least three shards of 32 or 33
 
 
+def test_shards_without_free_rows(spark):
+    """Nearly all rows linked: what fits whole is whole."""
+    rows = [(i, f"pair{i // 2}") for i in range(800)] + [(1000 + i, f"five{i // 5}") for i in range(200)] + [(2000, "a")]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string"), ["text"], shards=40).collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(got) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 1
+    groups = _grouped(got, "text")
+    assert sum(len({r.shard for r in own}) > 1 for own in groups.values()) <= 20  # every shard of 25 places has one left over, at best
+
+
+def test_parts_move_together_until_none_can(spark):
+    """A chain in which each key's small part gives room to the next one: one move a round."""
+    counts = [x for k in range(7) for x in ((k, k, 2), (k, k + 1, 1))]
+    quota = spark.createDataFrame([(s, 3) for s in range(8)], "shard int, room long")
+    got = propagate(spark.createDataFrame(counts, "_key long, shard int, n long"), quota).collect()
+    assert sorted((r["_key"], r.shard, r.n) for r in got) == [(k, k, 3) for k in range(7)]
+
+
 def test_shards_odd(odd):
     got = shard(odd.select("doc_id", "text", "size"), ["text"], shards=40).collect()
     assert len(got) == odd.count() and max(Counter(r.shard for r in got).values()) == 1
