@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH = 4
 #: A segment that is an identifier by its look: it holds a digit, or is very long.
 _IDENTIFIER = r"[0-9]|^.{40,}$"
 _EXTENSION = r"\.[A-Za-z]{1,5}$"
@@ -34,11 +33,13 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return (empty, empty) if rule is None else (rule, verdict)
 
 
-def _segments(path: Column) -> list[Column]:
-    """DEPTH segments, null where there are no more; the last takes the rest of a longer path."""
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    last = F.array_join(F.slice(parts, DEPTH, 1 << 20), "/")
-    return [*(F.get(parts, F.lit(i)) for i in range(DEPTH - 1)), F.when(F.size(parts) >= DEPTH, last)]
+def _parts(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda x: x != "")
+
+
+def _segments(path: Column, depth: int) -> list[Column]:
+    """The first depth segments, null where there are no more."""
+    return [F.get(_parts(path), F.lit(i)) for i in range(depth)]
 
 
 def templates(paths: DataFrame, least: int = 20, spread: float = 0.5, distance: float = 0.25, gap: float = 0.15, weight: float = 10.0, prior: float = 0.5) -> DataFrame:
@@ -51,11 +52,13 @@ def templates(paths: DataFrame, least: int = 20, spread: float = 0.5, distance:
        by no more than `gap`. Siblings are compared with their pooled total, never in pairs.
     3. A template's share is (bad + weight * prior share) / (labelled + weight).
 
-    Everything is aggregation by (host, prefix, ...): a hot host is only as many rows as it has different segments.
+    Everything is aggregation by (host, prefix, ...): a hot host is only as many rows as it has different segments. There
+    are as many levels as the longest path has segments.
     """
-    t = paths.select("host", "path", "n", "labelled", "bad", *[c.alias(f"s{i}") for i, c in enumerate(_segments(F.col("path")))])
-    t = written(t)
-    for i in range(DEPTH):
+    paths = written(paths)
+    depth = paths.agg(F.max(F.size(_parts(F.col("path"))))).first()[0] or 1
+    t = paths.select("host", "path", "n", "labelled", "bad", *[c.alias(f"s{i}") for i, c in enumerate(_segments(F.col("path"), depth))])
+    for i in range(depth):
         prefix = ["host", *[f"s{j}" for j in range(i)]]
         shown = F.regexp_extract(f"s{i}", _EXTENSION, 0)
         plain = t.where(F.col(f"s{i}").isNotNull() & ~F.col(f"s{i}").rlike(_IDENTIFIER))
@@ -67,10 +70,10 @@ def templates(paths: DataFrame, least: int = 20, spread: float = 0.5, distance:
         wild = F.col(f"s{i}").rlike(_IDENTIFIER) | F.col("_d").isNotNull()
         t = t.withColumn(f"s{i}", F.when(wild, F.concat(F.lit("*"), shown)).otherwise(F.col(f"s{i}"))).drop("_d", "_n", *[f"k_{c}" for c in prefix])
         t = written(t)
-    for i in reversed(range(DEPTH - 1)):
+    for i in reversed(range(depth - 1)):
         prefix = ["host", *[f"s{j}" for j in range(i)]]
         named = t.where(F.col(f"s{i}").isNotNull() & ~F.startswith(F.col(f"s{i}"), F.lit("*")))
-        rest = F.concat_ws("/", *[F.coalesce(f"s{j}", F.lit("")) for j in range(i + 1, DEPTH)])
+        rest = F.concat_ws("/", *[F.coalesce(f"s{j}", F.lit("")) for j in range(i + 1, depth)])
         keys = F.to_json(F.array(*prefix))
         cell = named.groupBy(keys.alias("_p"), F.col(f"s{i}").alias("_b"), rest.alias("_r")).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
         branch = cell.groupBy(F.col("_p").alias("_pb"), F.col("_b").alias("_bb")).agg(F.sum("n").alias("nb"), F.sum("labelled").alias("lb"), F.sum("bad").alias("bb"), F.count("*").alias("kinds"))
@@ -84,7 +87,7 @@ def templates(paths: DataFrame, least: int = 20, spread: float = 0.5, distance:
         merged = x.where(alike).select(F.col("_p").alias("_mp"), F.col("_b").alias("_mb"))
         t = t.withColumn("_key", keys).join(merged, (F.col("_key") == F.col("_mp")) & (F.col(f"s{i}") == F.col("_mb")), "left")
         t = written(t.withColumn(f"s{i}", F.when(F.col("_mb").isNotNull(), "+").otherwise(F.col(f"s{i}"))).drop("_key", "_mp", "_mb"))
-    t = t.select("host", "path", "n", "labelled", "bad", F.concat(F.lit("/"), F.concat_ws("/", *[f"s{i}" for i in range(DEPTH)])).alias("template"))
+    t = t.select("host", "path", "n", "labelled", "bad", F.concat(F.lit("/"), F.concat_ws("/", *[f"s{i}" for i in range(depth)])).alias("template"))
     sums = t.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.sum("labelled").alias("labels"), F.sum("bad").alias("_bad"))
     share = (F.col("_bad") + weight * prior) / (F.col("labels") + weight)
     return t.join(sums, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).select("host", "path", "template", share.alias("share"), "labels")

@@ -183,6 +183,14 @@ def test_templates_reject_by_labels(spark):
     assert judge(df.limit(0), RULES).count() == 0
 
 
+def test_templates_tell_deep_branches_apart(spark):
+    rows = [(i, f"http://h.org/a/b/c/d/spam/{i}", True) for i in range(60)] + [(100 + i, f"http://h.org/a/b/c/d/ok/{i}", False) for i in range(60)] + [(200, "http://h.org/a", None), (201, "http://h.org", None)]
+    got = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), [], label_col="bad").collect()}
+    assert {(r.verdict, r.template) for i, r in got.items() if i < 100} == {("block", "/a/b/c/d/spam/*")}
+    assert {(r.verdict, r.template) for i, r in got.items() if 100 <= i < 200} == {("allow", "/a/b/c/d/ok/*")}
+    assert (got[200].template, got[201].template) == ("/a", "/") and got[200].verdict == got[201].verdict == "allow"
+
+
 # Exact dedup
 
 def _brute_exact(rows):
