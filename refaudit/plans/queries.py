@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metadata as M
@@ -69,10 +69,14 @@ def agg08_distinct_tokens(spark, d):
 
 
 def sim01_dice(spark, d):
+    """One pairing per document, as the SQL twin has it, not documents times items: the document with remainder k takes the item
+    at place k by item_id. Without an item (no doc_id, or no items) the document stays, with a null item_id and dice 0."""
     b = table(spark, d, "benchmark").select("item_id", T.token_set(F.col("text")).alias("b"))
     n = b.count()
-    docs = _docs(spark, d).select("doc_id", T.token_set(F.col("text")).alias("a"), (F.col("doc_id") % n).alias("k"))
-    return docs.join(b, F.col("k") == F.col("item_id")).select("doc_id", "item_id", _six(T.dice(F.col("a"), F.col("b"))).alias("dice"))
+    b = b.withColumn("_place", F.row_number().over(Window.orderBy("item_id")) - 1)
+    docs = _docs(spark, d).select("doc_id", T.token_set(F.col("text")).alias("a"), F.pmod("doc_id", F.lit(max(n, 1))).alias("k"))
+    empty = F.array().cast("array<string>")
+    return docs.join(b, F.col("k") == F.col("_place"), "left").select("doc_id", "item_id", _six(T.dice(F.col("a"), F.coalesce("b", empty))).alias("dice"))
 
 
 def sim02_labels(spark, d):
