@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .common import each
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
+_SPACE = re.compile("[\\x00-`{-\\x7f]+")
 #: Odd multipliers for the n-gram hash (any odd numbers do).
 _MIX = np.asarray([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
@@ -21,42 +22,56 @@ _MIX = np.asarray([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1],
 @dataclass(frozen=True)
 class Model:
     langs: list[str]
-    log_prob: np.ndarray  # float32, one row per bucket and one column per language
+    log_prob: np.ndarray  # one row per language and one column per bucket
     log_prior: np.ndarray
     bits: int
     sizes: tuple[int, ...]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter (category L). Number signs such as a fraction or a Roman numeral aren't."""
+    return any(m[0].isalpha() for m in _WORD_CHARACTER.finditer(text))
+
+
+def _plain(text: str) -> str:
+    """The lower-cased text with a space before and after, each run of ASCII characters that aren't letters one space."""
+    return _SPACE.sub(" ", f" {text.lower()} ")
+
+
 def _codes(text: str) -> np.ndarray:
-    """Code points of the lower-cased text with a space before and after, each run of non-letters one space."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), np.uint32)
-    plain = (c < 128) & ~((c >= 97) & (c <= 122))
-    c = np.where(plain, np.uint32(32), c)
-    return c[np.append(True, ~((c[1:] == 32) & (c[:-1] == 32)))]
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def buckets(codes: np.ndarray, bits: int, sizes: tuple[int, ...]) -> Iterator[np.ndarray]:
-    """For each n-gram size, the bucket of the n-gram that starts at each character."""
-    for n in sizes:
-        if len(codes) < n:
-            continue
-        h = np.full(len(codes) - n + 1, n * 0x51ED27, np.uint32)
-        for i in range(n):
-            h = (h ^ codes[i : len(codes) - n + 1 + i]) * _MIX[i]
-            h ^= h >> np.uint32(15)
-        yield (h >> np.uint32(32 - bits)).astype(np.int32)
+def hashed(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The bucket of the n-gram that starts at each character."""
+    h = np.full(max(0, len(codes) - n + 1), n * 0x51ED27, np.uint32)
+    for i in range(n):
+        h = (h ^ codes[i : len(codes) - n + 1 + i]) * _MIX[i]
+        h ^= h >> np.uint32(15)
+    return (h >> np.uint32(32 - bits)).astype(np.int32)
 
 
-def train(docs: DataFrame, bits: int = 15, sizes: tuple[int, ...] = (1, 2, 3), sample: int = 20_000, smoothing: float = 0.5, text_col: str = "text", lang_col: str = "lang", seed_col: str = "doc_id") -> Model:
+def windows(text: str, size: int, sizes: tuple[int, ...]) -> Iterator[str]:
+    """A prepared text in stretches of `size` characters, each with what the last n-grams that start in it need besides."""
+    for at in range(0, len(text), size):
+        yield text[at : at + size + max(sizes) - 1]
+
+
+def train(docs: DataFrame, bits: int = 15, sizes: tuple[int, ...] = (1, 2, 3), sample: int = 20_000, smoothing: float = 0.5, text_col: str = "text", lang_col: str = "lang", seed_col: str = "doc_id", most_langs: int = 256, window: int = 1 << 18) -> Model:
     """Fits on labelled rows (text and lang not null), at most about `sample` of them, chosen by a hash of seed_col.
 
     Rows of one language are counted where they lie, a dense vector of 2**bits counts for each task and language; only those
-    vectors (as many as languages, once summed) reach the driver. No labelled row gives a model that knows no language.
+    vectors, once summed, reach the driver. They are as many as languages, and of labels only the most_langs most frequent
+    (ties: first by name) are learned, so that dirty labels can't fill the driver: at most most_langs * 2**bits counts. No
+    labelled row gives a model that knows no language.
     """
     import pyarrow as pa
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(seed_col).cast("string"), F.lit("langid")).alias("_h")).where("lang is not null and text is not null")
-    n = rows.select("lang").count()
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    n = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    langs = sorted(r[0] for r in found.orderBy(F.desc("n"), "lang").limit(most_langs).collect())
+    rows = rows.where(F.col("lang").isin(langs))
     if n > sample:
         rows = rows.where(F.pmod("_h", F.lit(1 << 20)) < F.lit(int((1 << 20) * sample / n)))
 
@@ -67,48 +82,75 @@ def train(docs: DataFrame, bits: int = 15, sizes: tuple[int, ...] = (1, 2, 3), s
             for lang, text in zip(b.column(0).to_pylist(), each(b.column(1)), strict=True):
                 c = counts.setdefault(lang, np.zeros(1 << bits, np.int64))
                 seen[lang] = seen.get(lang, 0) + 1
-                for k in buckets(_codes(text), bits, sizes):
-                    c += np.bincount(k, minlength=1 << bits)
+                for part in windows(_plain(text), window, sizes):
+                    codes = _codes(part)
+                    for k in sizes:
+                        c += np.bincount(hashed(codes, k, bits)[:window], minlength=1 << bits)
         for lang, c in counts.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(c[at], seen[lang]))], ["lang", "bucket", "n"])
 
-    found = rows.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(found["lang"].unique())
-    table = np.zeros((1 << bits, len(langs)))
+    sums = rows.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    langs = [x for x in langs if (sums["lang"] == x).any()]
+    table = np.zeros((len(langs), 1 << bits))
     prior = np.ones(max(1, len(langs)))
     for k, lang in enumerate(langs):
-        own = found[found["lang"] == lang]
+        own = sums[sums["lang"] == lang]
         grams = own[own["bucket"] >= 0]
-        table[grams["bucket"].to_numpy(), k] = grams["n"].to_numpy()
+        table[k, grams["bucket"].to_numpy()] = grams["n"].to_numpy()
         prior[k] = own[own["bucket"] < 0]["n"].sum()
     table += smoothing
-    table = np.log(table) - np.log(table.sum(axis=0))
-    return Model(langs, np.ascontiguousarray(table, np.float32), np.log(prior / prior.sum()), bits, sizes)
-
+    return Model(langs, np.log(table) - np.log(table.sum(axis=1, keepdims=True)), np.log(prior / prior.sum()), bits, sizes)
+
+
+def _sums(model: Model, parts: list[str], window: int) -> np.ndarray:
+    """For each part (row) and language (column), the log probabilities of the n-grams that start in its first `window`
+    characters, added up: the parts' characters lie end to end, and one reduction per n-gram size and language takes them all."""
+    codes = _codes("".join(parts))
+    lens = np.fromiter(map(len, parts), np.int64, len(parts))
+    starts = np.cumsum(lens) - lens
+    out = np.zeros((len(parts), len(model.langs)))
+    for n in model.sizes:
+        ends = starts + np.minimum(lens - n + 1, window)
+        some = np.flatnonzero(ends > starts)
+        if not len(some):
+            continue
+        buckets = hashed(codes, n, model.bits)
+        cuts = np.column_stack([starts[some], ends[some]]).ravel()
+        for j, own in enumerate(model.log_prob):
+            # A last zero, since the last cut may lie at the end.
+            out[some, j] += np.add.reduceat(np.append(own[buckets], 0.0), cuts)[::2]
+    return out
+
+
+def score(model: Model, texts: Iterable[str | None], window: int = 1 << 18) -> tuple[list[str], np.ndarray]:
+    """(language, posterior probability) of each text, scored in batches of about `window` characters: short texts together,
+    long ones in stretches. Besides the texts and one lower-cased copy of each, memory doesn't follow their length."""
+    rows: list[int] = []
+    parts: list[str] = []
+    totals: list[np.ndarray | None] = []
+    held = 0
+
+    def flush() -> None:
+        if parts:
+            for i, s in zip(rows, _sums(model, parts, window), strict=True):
+                totals[i] = totals[i] + s
+        rows.clear()
+        parts.clear()
 
-def score(model: Model, texts: list[str | None], window: int = 1 << 18) -> tuple[list[str], np.ndarray]:
-    """(language, posterior probability) of each text. Texts are read through windows, so memory doesn't follow their length."""
-    langs, best = [], np.zeros(len(texts))
-    reach = max(model.sizes) - 1
     for i, text in enumerate(texts):
-        if not text or not model.langs or not _LETTER.search(text):
-            langs.append(UNKNOWN)
-            continue
-        total = model.log_prior.copy()
-        codes = _codes(text)
-        for at in range(0, len(codes), window):
-            part = codes[at : at + window + reach]
-            for n, k in zip(model.sizes, buckets(part, model.bits, model.sizes), strict=False):
-                k = k[:window]
-                if len(k) > 4 * len(model.log_prob):
-                    total += np.bincount(k, minlength=len(model.log_prob)) @ model.log_prob
-                else:
-                    total += model.log_prob[k].sum(axis=0, dtype=np.float64)
-        top = int(total.argmax())
-        langs.append(model.langs[top])
-        best[i] = 1 / np.exp(total - total[top]).sum()
-    return langs, best
+        known = bool(text) and bool(model.langs) and has_letter(text)
+        totals.append(model.log_prior if known else None)
+        for part in windows(_plain(text), window, model.sizes) if known else ():
+            rows.append(i)
+            parts.append(part)
+            held += len(part)
+            if held >= window:
+                flush()
+                held = 0
+    flush()
+    langs = [UNKNOWN if t is None else model.langs[int(t.argmax())] for t in totals]
+    return langs, np.asarray([0.0 if t is None else 1 / np.exp(t - t.max()).sum() for t in totals])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -116,7 +158,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     A null text or one without a letter is `und` with score 0; so is every text if the model knows no language. Ties go to
     the language that sorts first. Repeated rows and null columns are passed through; columns named lang_pred or score are
-    replaced. The model (2**bits rows, a column per language) is broadcast; its size doesn't depend on the input.
+    replaced. The model (at most most_langs rows of 2**bits numbers) is broadcast; its size doesn't depend on the input.
     """
     import pyarrow as pa
 
@@ -127,12 +169,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            langs, best = [], []
-            for i in range(0, b.num_rows, 256):
-                some, posterior = score(m, b.column(at).slice(i, 256).to_pylist())
-                langs += some
-                best.append(posterior)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(best) if best else [], pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            langs, best = score(m, each(b.column(at)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(best, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
