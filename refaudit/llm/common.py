@@ -1,9 +1,11 @@
-"""Shared pieces: writing intermediate tables where all executors see them, and distributed running sums."""
+"""Shared pieces: intermediate tables where all executors see them, running sums, hot keys, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,28 +13,65 @@ from pyspark.sql import functions as F
 #: What separates words in every contract here: space and the five ASCII controls from tab to carriage return.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key is hot if it holds more than this share of the rows (and this many), so there are at most SPLIT hot keys.
+SPLIT, LEAST_HOT = 1 << 10, 1 << 8
+#: Hot keys are dealt to this many cells.
+SALTS = 64
+
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests, local mode) a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; on a cluster that is
+    an error, as a folder of one machine would lose rows."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
         found = "file://" + tempfile.mkdtemp(prefix="refaudit-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read back. Lost executors cost only their tasks."""
+    """Cuts the lineage: df as a Parquet table in the shared folder, read back. Lost executors cost only their tasks.
+
+    The table stays as long as a result may still read it: until the surrounding `temporary` block ends, else until exit.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/refaudit-{uuid.uuid4().hex}"
+    _tables.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes the tables written inside the block when it ends. What must outlive it has to be written elsewhere."""
+    mark = len(_tables)
+    try:
+        yield
+    finally:
+        release(mark)
+
+
+@atexit.register
+def release(mark: int = 0) -> None:
+    """Deletes the tables written since the mark (all of them by default)."""
+    while len(_tables) > mark:
+        spark, path = _tables.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        except Exception:  # noqa: BLE001  at exit the session may be gone; the folder is the caller's to empty then
+            pass
+
+
 def words(text: Column) -> Column:
     """Number of words; null counts as no text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -70,25 +109,57 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str, out: s
     return df.join(sums, on).select(*kept, (F.col("_base") + F.col("_within")).cast("long").alias(out))
 
 
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], salt: str, total: int, how: str = "inner", hint: str | None = None) -> DataFrame:
+    """rows joined with `one` (keys, `_count`: their number of rows, and more), which has one row a key; the rows of a hot
+    key meet in no one task.
+
+    A key of more than total / SPLIT rows is hot. At most SPLIT keys are, so their list is broadcast whatever the size of
+    the data; their rows are dealt to SALTS cells by the column `salt`, which varies within a key, and their row of `one` is
+    copied to each cell. Rows with a null key meet none; `how` is inner or left, `hint` the kind of join.
+    """
+    most = max(LEAST_HOT, -(-total // SPLIT))
+    same = lambda to: [F.col(k) == F.col(f"{to}{i}") for i, k in enumerate(keys)]
+    renamed = lambda df, to: df.withColumnsRenamed({k: f"{to}{i}" for i, k in enumerate(keys)})
+    hot = F.broadcast(renamed(one.where(F.col("_count") > most).select(*keys, F.lit(True).alias("_hot")), "_hot"))
+    left = rows.join(hot, same("_hot"), "left").select(*rows.columns, F.when(F.col("_hot"), F.pmod(F.xxhash64(salt), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("_salt"))
+    cells = F.when(F.col("_count") > most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = renamed(one.withColumn("_cell", F.explode(cells)), "_own")
+    right = right.hint(hint) if hint else right
+    return left.join(right, [*same("_own"), F.col("_salt") == F.col("_cell")], how).drop("_salt", "_cell", *[f"_own{i}" for i in range(len(keys))])
+
+
+def maybe_in(rows: DataFrame, h: Column, wanted: DataFrame, bits: int = 26) -> DataFrame:
+    """rows with `_maybe`: false only if their 64-bit h is none of `wanted` (one long column, _h). A join that decides follows.
+
+    Hashes mark a map of 2**bits bits, at most 8 MB whatever the size of the data, which is broadcast; a row that hits an
+    unmarked bit is not wanted. A full map lets all rows pass, so the result after the join never depends on it.
+    """
+    maps = wanted.select(F.pmod("_h", F.lit(1 << bits)).alias("_at")).groupBy(F.floor(F.col("_at") / 32768).alias("_map")).agg(F.bitmap_construct_agg(F.col("_at") % 32768).alias("_bits"))
+    at = rows.withColumn("_at", F.pmod(h, F.lit(1 << bits))).join(F.broadcast(maps), F.floor(F.col("_at") / 32768) == F.col("_map"), "left")
+    byte = "cast(conv(hex(substring(_bits, cast(_at % 32768 as int) div 8 + 1, 1)), 16, 10) as int)"
+    return at.select(*rows.columns, F.expr(f"coalesce(shiftright({byte}, cast(_at % 8 as int)) & 1 = 1, false)").alias("_maybe"))
+
+
 def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (a long, b long): rows (node, root), root being the smallest node reachable.
 
-    Alternates two steps until nothing changes: every node tells its larger neighbours the smallest one it knows, then
-    its smaller ones. Each step is one shuffle by node; state between rounds is a table in the shared folder.
+    Alternates two steps until the edges stay the same: every node tells its larger neighbours the smallest one it knows, then
+    its smaller ones. Each step is one shuffle by node, the edges of hubs dealt to cells; state between rounds is a table in
+    the shared folder.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    last = None
+    n = edges.count()
+    lowest = lambda e: e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_count"))
     for _ in range(rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = written(small)
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == last:
+        low = lowest(both).select("u", F.least("u", "m").alias("m"), "_count")
+        large = spread_join(both, low, ["u"], "v", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = spread_join(large, lowest(large), ["u"], "v", 2 * n).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        now = written(small)
+        same, n = n, now.count()
+        if same == n and now.join(edges, ["u", "v"], "left_anti").isEmpty():
             break
-        last = now
+        edges = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
