@@ -17,7 +17,7 @@ from refaudit.llm.near_dedup import collisions, estimate, near_groups, registers
 from refaudit.llm.sharding import propagate, shard
 from refaudit.llm.shingles import WordHashes, shingle_set
 from refaudit.llm.topk import top_k
-from refaudit.llm.url_filter import judge
+from refaudit.llm.url_filter import judge, templates
 
 SF = "/root/testdata/sf0.001"
 
@@ -149,6 +149,32 @@ def test_top_k(spark):
     assert got == _brute_top(rows)
 
 
+def test_top_k_overlong_vectors(spark):
+    """Longer than what is rotated: the rest still counts, and the memory is that of the vector, not its square."""
+    rng = random.Random(4)
+    rows = [(i, [rng.randrange(-9, 9) / 8 for _ in range(rng.choice([3, 8, 20]))]) for i in range(300)] + [(400, [0.25] * 100_000), (401, [0.5] * 100_000), (500, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+    def padded(v):
+        return v + [0.0] * (100_000 - len(v))
+
+    vs = [(i, np.floor(1024 * np.asarray(padded(v)))) for i, v in rows]
+    want = []
+    for i, x in vs:
+        if i % 100 == 0:
+            own = sorted((-int(x @ y), j) for j, y in vs if j != i)[:10]
+            want += [(i, n, j, -s) for n, (s, j) in enumerate(own, 1)]
+    got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 100 == 0, block=64, queries_block=3, most_width=8).collect())
+    assert got == sorted(want)
+
+
+def test_top_k_meets_few_groups(spark):
+    """Vectors far too short for any query's bound are not sent to it."""
+    rows = [(i, [float(100 + i), 1.0]) for i in range(50)] + [(100 + i, [0.01, 0.01 * (i % 5)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(df, F.col("vec_id") == 0, block=32, group=1).collect())) == [x for x in _brute_top(rows) if x[0] == 0]
+
+
 def test_top_k_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (5, [-1.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, top_k(df, F.col("vec_id") == 0).collect())) == [(0, 1, 1, 2 * 1024 * 1024), (0, 2, 5, -1024 * 1024)]
@@ -183,6 +209,88 @@ def test_templates_reject_by_labels(spark):
     assert judge(df.limit(0), RULES).count() == 0
 
 
+def _brute_templates(paths, least=20, spread=0.5, distance=0.25, gap=0.15, weight=10.0, prior=0.5):
+    """The definition of templates, row by row: paths {(host, path): (n, labelled, bad)} -> {(host, path): (template, share, labels)}."""
+    wild = lambda x: re.search(r"[0-9]|^.{40,}$", x)
+    ext = lambda x: "*" + (m[0] if (m := re.search(r"\.[A-Za-z]{1,5}$", x)) else "")
+    rows = {k: [x for x in k[1].split("/") if x] for k in paths}
+    depth = max([len(x) for x in rows.values()] + [1])
+    for i in range(depth):
+        seen = defaultdict(Counter)
+        for (h, p), x in rows.items():
+            if len(x) > i and not wild(x[i]):
+                seen[h, tuple(x[:i])][x[i]] += paths[h, p][0]
+        many = {k for k, c in seen.items() if len(c) >= least and len(c) > spread * sum(c.values())}
+        rows = {k: [ext(y) if j == i and (wild(y) or (k[0], tuple(x[:i])) in many) else y for j, y in enumerate(x)] for k, x in rows.items()}
+    for i in reversed(range(depth)):
+        cells = defaultdict(lambda: defaultdict(lambda: defaultdict(lambda: np.zeros(3))))
+        for k, x in rows.items():
+            if len(x) > i and not x[i].startswith("*"):
+                cells[k[0], tuple(x[:i])][x[i]][tuple(x[i + 1 :])] += paths[k]
+        merged, general = set(), defaultdict(lambda: np.zeros(3))
+        for (_, prefix), branches in cells.items():
+            for b, own in branches.items():
+                general[prefix, b] += sum(own.values())
+        for at, branches in cells.items():
+            pool = defaultdict(lambda: np.zeros(3))
+            for own in branches.values():
+                for r, v in own.items():
+                    pool[r] = pool[r] + v
+            whole = sum(pool.values())
+            wide = sum(general[at[1], b] for b in branches)
+            smooth = lambda v, g: (v[2] + weight * (g[2] + weight * prior) / (g[1] + weight)) / (v[1] + weight)
+            for b, own in branches.items():
+                all_ = sum(own.values())
+                tv = sum(abs((own[r][0] if r in own else 0) / all_[0] - pool[r][0] / whole[0]) for r in pool) / 2
+                if len(branches) > 1 and tv <= distance + (len(own) / all_[0]) ** 0.5 / 2 and abs(smooth(all_, general[at[1], b]) - smooth(whole, wide)) <= gap:
+                    merged.add((at, b))
+        rows = {k: [*x[:i], "+", *x[i + 1 :]] if len(x) > i and ((k[0], tuple(x[:i])), x[i]) in merged else x for k, x in rows.items()}
+    here, all_ = defaultdict(lambda: np.zeros(2)), defaultdict(lambda: np.zeros(2))
+    for k, x in rows.items():
+        here[k[0], tuple(x)] += paths[k][1:]
+        all_[tuple(x)] += paths[k][1:]
+    out = {}
+    for k, x in rows.items():
+        (l, b), (la, ba) = here[k[0], tuple(x)], all_[tuple(x)]
+        out[k] = ("/" + "/".join(x), (b + weight * (ba + weight * prior) / (la + weight)) / (l + weight), la)
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    r = random.Random(9)
+    paths = {}
+    for h in ("a.org", "b.org", "c.net"):
+        for _ in range(150):
+            one = r.choice(["news", "shop", "user", "en", "fr", f"x{r.randrange(30)}"])
+            segments = [one, r.choice(["p", "q", f"{r.randrange(99)}.html", "".join(r.choice("abcdef") for _ in range(5))]), r.choice(["", "", "z", "long" * 12])][: r.randrange(1, 4)]
+            n = r.randrange(1, 5)
+            labelled = r.randrange(n + 1) if one != "fr" else 0
+            paths[h, "/" + "/".join(segments)] = (n, labelled, labelled if one == "shop" else r.randrange(labelled + 1) // 2)
+    df = spark.createDataFrame([(*k, *v) for k, v in paths.items()], "host string, path string, n long, labelled long, bad long")
+    got = {(x.host, x.path): (x.template, x.share, x.labels) for x in templates(df, least=6).collect()}
+    want = _brute_templates(paths, least=6)
+    assert got.keys() == want.keys()
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(v[1]) and got[k][2] == v[2] for k, v in want.items())
+
+
+def test_labels_reach_other_hosts(spark):
+    """What the rules say of /es/ pages decides about those of a host that no rule names; unlabelled templates are allowed."""
+    rows = [(i, f"http://h{i % 9}.net/es/{i}") for i in range(90)] + [(100 + i, f"http://k.org/es/{i}") for i in range(20)] + [(200 + i, f"http://k.org/pt/{i}") for i in range(20)] + [(300 + i, f"http://k.com/en/{i}") for i in range(90)] + [(400 + i, f"http://k.org/en/{i}") for i in range(20)]
+    got = {r.page_id: r.verdict for r in judge(spark.createDataFrame(rows, "page_id long, url string"), RULES).collect()}
+    assert {got[i] for i in range(100, 120)} == {"block"} and {got[i] for i in range(200, 220)} == {"allow"} == {got[i] for i in range(400, 420)}
+
+
+def test_odd_urls(spark):
+    """Very long urls, more levels than are looked at, a host without labels, clashing columns, repeated and null rows."""
+    deep = "http://h.org/" + "/".join(f"a{'bc'[i % 2]}" for i in range(3000)) + "/7"
+    rows = [(1, deep, True, "x"), (2, deep, None, "y"), (3, "http://h.org/" + "x" * 200_000, None, None), (4, None, True, "z"), (None, "http://z.org/a", None, "n"), (None, "http://z.org/a", None, "n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean, host string").withColumns({"path": F.lit(1), "template": F.lit("t"), "rule": F.lit(2), "_row": F.lit(3)})
+    got = judge(df, [], label_col="bad").collect()
+    assert len(got) == 6 and {r.verdict for r in got} == {"allow"}
+    assert {r.host for r in got} == {"h.org", "", "z.org"} and next(r for r in got if r.page_id == 1).template.endswith("/ac/*")
+
+
 def test_templates_tell_deep_branches_apart(spark):
     rows = [(i, f"http://h.org/a/b/c/d/spam/{i}", True) for i in range(60)] + [(100 + i, f"http://h.org/a/b/c/d/ok/{i}", False) for i in range(60)] + [(200, "http://h.org/a", None), (201, "http://h.org", None)]
     got = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), [], label_col="bad").collect()}
