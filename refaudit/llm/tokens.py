@@ -19,22 +19,29 @@ from pyspark.sql import functions as F
 
 #: The split of byte-level BPE before merging, as the public tokenizer defines it (a fixed value).
 BYTE_BPE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A token of byte-level BPE never spans one space that stands between two characters that aren't spaces.
-_SAFE = re.compile(r"\S(?= \S)")
+#: Places that no token of byte-level BPE spans: one space between two characters that aren't spaces (before the space).
+_SPACE = re.compile(r"\S(?= \S)")
+#: And where a run of letters, digits or signs ends, told by characters of which every Unicode version thinks alike. Not
+#: after an apostrophe, which may begin a contraction. A special token's name may hold such places.
+_RUNS = re.compile(
+    r"\S(?= \S)|[A-Za-z](?=[!-@\[-`{-~])|[0-9](?=[!-/:-~])|[!-&(-/:-@\[-`{-~](?=[A-Za-z0-9])"
+    r"|[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f](?=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3])|[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3](?=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])"
+)
 
 
 class Encoder:
     """ids(text): its token ids as a uint32 array; count(texts): their token counts. No special tokens are added."""
 
-    def __init__(self, ids: Callable[[str], np.ndarray], count: Callable[[list[str]], list[int]], splittable: bool):
-        self._ids, self._count, self.splittable = ids, count, splittable
+    def __init__(self, ids: Callable[[str], np.ndarray], count: Callable[[list[str]], list[int]], splittable: bool, names: tuple[str, ...] = ()):
+        self._ids, self._count, self.splittable, self._names = ids, count, splittable, names
 
     def pieces(self, text: str, size: int) -> list[str]:
         """The text cut after about `size` characters each, only where no token can be cut; whole if there is no such place."""
         if not self.splittable or len(text) <= size:
             return [text]
+        safe = _SPACE if any(x in text for x in self._names) else _RUNS
         out, at = [], 0
-        while len(text) - at > size and (m := _SAFE.search(text, at + size)):
+        while len(text) - at > size and (m := safe.search(text, at + size)):
             out.append(text[at : m.end()])
             at = m.end()
         return [*out, text[at:]]
@@ -44,7 +51,7 @@ class Encoder:
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
     def count(self, texts: list[str], batch_bytes: int = 1 << 20, size: int = 1 << 16) -> list[int]:
-        """Counts of the texts, encoded in batches of about batch_bytes."""
+        """Counts of the texts, encoded in batches of about batch_bytes (UTF-8), long texts cut at safe places."""
         out = [0] * len(texts)
         owner: list[int] = []
         batch: list[str] = []
@@ -60,7 +67,7 @@ class Encoder:
             for part in self.pieces(text, size):
                 owner.append(i)
                 batch.append(part)
-                held += len(part)
+                held += len(part) if part.isascii() else len(part.encode())
                 if held >= batch_bytes:
                     flush()
                     held = 0
@@ -68,6 +75,19 @@ class Encoder:
         return out
 
 
+def by_bytes(column, most: int) -> Iterator:
+    """An Arrow text column in slices of about `most` bytes, at least a text each: so much becomes Python objects at a time."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield column.slice(at, to - at)
+        at = to
+
+
 def _byte_letters() -> dict[str, int]:
     """Byte-level vocabularies write a byte as itself where that is a visible Latin-1 character, and otherwise as the next unused code point from 256."""
     shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
@@ -121,12 +141,12 @@ def encoder(path: str) -> Encoder:
         core = tiktoken.Encoding("own", pat_str=BYTE_BPE_SPLIT, mergeable_ranks=ranks, special_tokens=special)
         names = tuple(special)
 
-        def run(text: str) -> list[int]:
-            if any(x in text for x in names):  # the library's default: such strings become their special token
-                return core.encode(text, allowed_special="all")
-            return core._core_bpe.encode_ordinary(text)
+        def run(texts: list[str]) -> list[list[int]]:
+            if any(x in t for t in texts for x in names):  # the library's default: such strings become their special token
+                return core.encode_batch(texts, num_threads=1, allowed_special="all")
+            return core.encode_ordinary_batch(texts, num_threads=1)
 
-        return Encoder(lambda t: np.asarray(run(t), np.uint32), lambda ts: [len(run(t)) for t in ts], True)
+        return Encoder(lambda t: np.asarray(run([t])[0], np.uint32), lambda ts: list(map(len, run(ts))), True, names)
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(path)
@@ -139,7 +159,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs.
 
     Only the id and the text are read; the scan's splits are even in bytes, and within a task texts go to the encoder in
-    batches of about batch_bytes, long ones cut at safe boundaries, so one long text never makes a batch large. Only the
+    batches of about batch_bytes (UTF-8), long ones cut at safe boundaries, so one long text never makes a batch large. Only the
     lengths leave the worker; nothing is shuffled. A null or empty text has 0 bytes and 0 tokens; repeated rows each give a
     row; a null id stays null; other columns are not looked at. `path` must exist on every executor.
     """
@@ -150,7 +170,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         enc = encoder(path)
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
-            counts = pa.array([n for at in range(0, len(texts), 1024) for n in enc.count(texts.slice(at, 1024).to_pylist(), batch_bytes)], pa.int64())
+            counts = pa.array([n for part in by_bytes(texts, batch_bytes) for n in enc.count(part.to_pylist(), batch_bytes)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pc.cast(pc.binary_length(texts), pa.int64()), counts], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = dict(docs.dtypes)[id_col]
