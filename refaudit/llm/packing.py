@@ -85,7 +85,7 @@ def cut(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_co
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_rows: int = 1 << 16) -> DataFrame:
     """Packs every document into sequences of at most `capacity` tokens; one row per piece with sequence_id and offset.
 
-    The pieces are written once (tokenising is the dear step) without texts, dealt round robin to groups of about group_rows
+    The pieces are written once (tokenising is the dear step) without texts, dealt by a hash of their place to groups of about group_rows
     and packed group by group, longest first; a group of tens of thousands wastes at most a few sequences, and no
     document's or source's rows meet in one task. Null and empty texts are one piece holding only end_id; repeated rows
     are packed each; a null id stays null; no rows give no rows.
@@ -102,5 +102,5 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
         return part.drop(columns="_g")
 
     schema = ", ".join(f"{c} {t}" for c, t in pieces.dtypes)
-    dealt = pieces.withColumn("_g", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int"))
+    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     return dealt.groupBy("_g").applyInPandas(place, f"{schema}, offset long, sequence_id long")
