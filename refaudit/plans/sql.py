@@ -53,11 +53,16 @@ matched AS (
 
 _W = "w.title AS w_title, w.authors AS w_authors, w.container AS w_container, w.year AS w_year, w.doi AS w_doi, w.volume AS w_volume, w.issue AS w_issue, w.pages AS w_pages"
 _BY_DOI = _BASE + _score(f"SELECT p.*, {_W} FROM parts p JOIN works w ON p.ref_doi = w.doi")
+#: Every token counts, however many works hold it; numbers stand for works, references and tokens while pairs are counted.
 _CANDIDATES = _BASE + f""",
-post AS (SELECT doi, len(s) AS size, unnest(s) AS token FROM (SELECT doi, {_set("concat_ws(' ', title, authors, container, CAST(year AS VARCHAR))")} AS s FROM works)),
-usable AS (SELECT * FROM post WHERE token IN (SELECT token FROM post GROUP BY token HAVING count(*) <= 1000)),
-hits AS (SELECT a.doc_id, a.ref_no, u.doi, count(*) AS shared, any_value(u.size) AS size
-  FROM (SELECT doc_id, ref_no, unnest({_set("reference")}) AS token FROM parts WHERE ref_doi IS NULL) a JOIN usable u USING (token) GROUP BY ALL),
+post AS (SELECT n AS w, doi, len(s) AS size, unnest(s) AS token FROM (SELECT n, doi, {_set("concat_ws(' ', title, authors, container, CAST(year AS VARCHAR))")} AS s FROM works)),
+ids AS (SELECT token, CAST(row_number() OVER () AS INTEGER) AS t FROM (SELECT DISTINCT token FROM post)),
+asked AS (SELECT CAST(doc_id * 100 + ref_no AS INTEGER) AS r, t FROM (SELECT doc_id, ref_no, unnest({_set("reference")}) AS token FROM parts WHERE ref_doi IS NULL) JOIN ids USING (token)),
+held AS (SELECT CAST(w AS INTEGER) AS w, t FROM post JOIN ids USING (token)),
+pairs AS (SELECT r, w, count(*) AS shared FROM asked JOIN held USING (t) GROUP BY ALL),
+most AS (SELECT r, min(shared) AS least FROM (SELECT r, unnest(max(shared, 8)) AS shared FROM pairs GROUP BY r) GROUP BY r),
+hits AS (SELECT r // 100 AS doc_id, CAST(r % 100 AS INTEGER) AS ref_no, p.shared, i.doi, i.size
+  FROM pairs p JOIN most USING (r) JOIN (SELECT DISTINCT w, doi, size FROM post) i USING (w) WHERE p.shared >= least),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ref_no ORDER BY shared DESC, size, doi) AS ord FROM hits) WHERE ord <= 8)"""
 _RANKED = _CANDIDATES + _score(f"SELECT p.*, t.ord, {_W} FROM parts p JOIN top t USING (doc_id, ref_no) JOIN works w ON t.doi = w.doi") + """,
 ranked AS (SELECT *, row_number() OVER o AS rank, lead(score) OVER o AS next_score, count(*) OVER (PARTITION BY doc_id, ref_no) AS n_cand FROM matched WINDOW o AS (PARTITION BY doc_id, ref_no ORDER BY score DESC, ord))"""

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REFS_PER_DOC = 20
+#: As many different last words of titles: no title names its work alone.
+TOPICS = 499
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,19 +22,24 @@ def _text(c: Column) -> Column:
     return c.cast("string")
 
 
+def _word(c: Column) -> Column:
+    """A number in letters."""
+    return F.translate(_text(c), "0123456789", "abcdefghij")
+
+
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n (the order), then the candidate fields."""
     first = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey")).alias("_l"))
     o = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(first, F.col("o_orderkey") == F.col("l_orderkey"))
     o = o.join(_table(spark, sf_dir, "part"), F.col("_l.l_partkey") == F.col("p_partkey"))
     n = F.col("o_orderkey")
-    family = F.concat(F.lit("Q"), F.translate(_text(F.col("c_custkey")), "0123456789", "abcdefghij"))
+    family = F.concat(F.lit("Q"), _word(F.col("c_custkey")))
     given = F.char(F.lit(65) + F.col("c_custkey") % 26)
     return o.select(
         n.alias("n"),
         F.lit("crossref").alias("source"),
         F.concat(F.lit("10.1000/w"), _text(n)).alias("doi"),
-        F.concat("p_name", F.lit(" "), F.lower("c_mktsegment"), F.lit(" study "), _text(n)).alias("title"),
+        F.concat("p_name", F.lit(" "), F.lower("c_mktsegment"), F.lit(" study of "), _word(n % TOPICS)).alias("title"),
         F.concat(given, F.lit(". "), family).alias("authors"),
         F.concat(F.lit("Journal of "), F.lower("p_type")).alias("containerTitle"),
         F.year("o_orderdate").alias("year"),
@@ -77,7 +84,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CORPUS_SQL = """
 works AS (
-  SELECT o_orderkey AS n, '10.1000/w' || o_orderkey AS doi, p_name || ' ' || lower(c_mktsegment) || ' study ' || o_orderkey AS title,
+  SELECT o_orderkey AS n, '10.1000/w' || o_orderkey AS doi, p_name || ' ' || lower(c_mktsegment) || ' study of ' || translate(CAST(o_orderkey % 499 AS VARCHAR), '0123456789', 'abcdefghij') AS title,
     chr(CAST(65 + c_custkey % 26 AS INTEGER)) || '. Q' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij') AS authors,
     'Journal of ' || lower(p_type) AS container, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_orderkey % 50 + 1 AS VARCHAR) AS volume,
     CAST(o_orderkey % 4 + 1 AS VARCHAR) AS issue, (o_orderkey % 900 + 1) || '-' || (o_orderkey % 900 + 9) AS pages
