@@ -18,7 +18,8 @@ SPLIT, LEAST_HOT = 1 << 10, 1 << 8
 #: Hot keys are dealt to this many cells.
 SALTS = 64
 
-_tables: list[tuple[SparkSession, str]] = []
+#: Tables written, and whether they outlive a `temporary` block.
+_tables: list[tuple[SparkSession, str, bool]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,38 +39,46 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, outlive: bool = False) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, read back. Lost executors cost only their tasks.
 
-    The table stays as long as a result may still read it: until the surrounding `temporary` block ends, else until exit.
+    The table stays as long as a result may still read it: until the surrounding `temporary` block ends, without one (or if
+    it is to outlive it) until `release` or exit.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/refaudit-{uuid.uuid4().hex}"
-    _tables.append((spark, path))
+    _tables.append((spark, path, outlive))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    except Exception:  # noqa: BLE001  at exit the session may be gone; the folder is the caller's to empty then
+        pass
+
+
 @contextmanager
 def temporary() -> Iterator[None]:
-    """Deletes the tables written inside the block when it ends. What must outlive it has to be written elsewhere."""
+    """Deletes the tables written inside the block when it ends, but for those that are to outlive it."""
     mark = len(_tables)
     try:
         yield
     finally:
-        release(mark)
+        inside = _tables[mark:]
+        _tables[mark:] = [t for t in inside if t[2]]
+        for spark, path, outlive in inside:
+            if not outlive:
+                _delete(spark, path)
 
 
 @atexit.register
-def release(mark: int = 0) -> None:
-    """Deletes the tables written since the mark (all of them by default)."""
-    while len(_tables) > mark:
-        spark, path = _tables.pop()
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-        except Exception:  # noqa: BLE001  at exit the session may be gone; the folder is the caller's to empty then
-            pass
+def release() -> None:
+    """Deletes all tables written so far; results that still read them are void."""
+    while _tables:
+        _delete(*_tables.pop()[:2])
 
 
 def words(text: Column) -> Column:

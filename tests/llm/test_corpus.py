@@ -422,6 +422,38 @@ def test_pipeline(spark, tmp_path):
     assert Counter(packed[packed.piece == 0].doc_id) == Counter(mixed.doc_id)
 
 
+def test_pipeline_rows_stay_apart(spark, tmp_path):
+    """Null ids, repeated rows, null columns, clashing and extra columns, and scans that are split anew between two reads."""
+    import corpus_pipeline as P
+
+    text = "one two three four five six seven"
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (None, text + " eight nine ten", "en", None, 2), (None, "so other words stand here instead of them", "en", "a", None), (3, "eins zwei drei vier fünf sechs", None, None, None)]
+    rows += [(10 + i, " ".join(f"w{i}x{k}" for k in range(30)), "en", "b", 3) for i in range(200)] + [(5, None, "en", "a", 0), (6, "12", "en", "a", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").withColumns({"_row": F.lit(7), "_id": F.lit("x"), "size": F.lit(1)})
+    docs.repartition(6).write.parquet(str(tmp_path / "in"))
+    seen = {}
+    for size in ("128m", "2k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        df = spark.read.parquet(str(tmp_path / "in"))
+        for name, stage in P.STAGES[:4]:
+            made = stage(spark, df, "")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "1k" if size == "2k" else "128m")
+            made.write.parquet(str(tmp_path / f"{name}{size}"))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = spark.read.parquet(str(tmp_path / f"{name}{size}"))
+            assert df.columns == P.COLUMNS
+            seen[name, size] = Counter((r.doc_id, r.text) for r in df.collect())
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name in ("language_id", "exact_dedup", "near_dedup"):
+        assert seen[name, "128m"] == seen[name, "2k"]
+    assert seen["language_id", "2k"][1, text] == 2 and seen["exact_dedup", "2k"][1, text] == 1 and len(seen["exact_dedup", "2k"]) == 204
+    assert set(seen["mix_sources", "2k"]) <= set(seen["near_dedup", "2k"])
+    empty = docs.limit(0)
+    for _, stage in P.STAGES:
+        empty = stage(spark, empty, "")
+        assert empty.count() == 0
+
+
 def test_queries_run(spark):
     from refaudit.llm.queries import QUERIES
 
