@@ -1,7 +1,8 @@
 """The corpus pipeline: language identification, exact dedup, near-dedup, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Stages
-work on all rows of their input and on whole texts.
+work on all rows of their input and on whole texts. Rows are told apart by numbers, not by doc_id, so repeated rows and null
+ids stay apart; any other column may be null; columns other than those of documents are dropped; an empty table gives one.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refaudit.llm.common import written
+from refaudit.llm.common import temporary, written
 from refaudit.llm.exact_dedup import exact_groups
 from refaudit.llm.langid import UNKNOWN, identify, train
 from refaudit.llm.mixing import mix
@@ -22,17 +23,18 @@ VOCAB = "byte_bpe_50k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents and drops those whose language can't be told: no text, or none with a letter."""
+    """Learns from the labelled documents and drops those whose language can't be told: a null text, or one without a letter
+    (all of them, if no row is labelled). Repeated rows stay or go together."""
     model = train(docs)
     return identify(docs.select(*COLUMNS), model).where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with _id: doc_id and a number of its own for each row, so that repeated rows and null ids stay apart.
+    """docs with _row, a number of its own for each row, and _id: doc_id and that number, which orders like doc_id.
 
-    docs is a written table, whose scan numbers its rows alike each time.
+    The numbered table is written, since numbers given in a scan depend on how it is split, which may change from one to the next.
     """
-    return docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")).withColumn("_id", F.struct("doc_id", "_row"))
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row"))).withColumn("_id", F.struct("doc_id", "_row"))
 
 
 def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
@@ -41,19 +43,22 @@ def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts (but for white space) stays: the one with most characters, then smallest id."""
+    """One row of each group of equal texts (but for white space) stays: the one with most characters, then smallest id (a null
+    one comes first), then any of equal rows. Null counts as the empty text."""
     rows = _numbered(docs)
     return _kept(rows, exact_groups(rows, id_col="_id").where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, similarity 0.8 or more)."""
+    """One row of each group of near copies stays, that of the smallest id (five-word shingles, similarity 0.8 or more). Rows
+    without words are in no group and stay."""
     rows = _numbered(docs)
     return _kept(rows, near_groups(rows, n=5, percent=80, id_col="_id").where("kept"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: a row for each pass in which a slot takes its first word."""
+    """Every document as often as the mix takes it: a row for each pass in which a slot takes its first word. Rows without words
+    are never taken; a null source is a source of its own."""
     rows = _numbered(docs)
     _, taken = mix(rows, id_col="_id", shuffle_col="doc_id")
     copies = taken.where("first_word = 0").groupBy(F.col("doc_id._row").alias("_r")).agg(F.count("*").cast("int").alias("_times"))
@@ -62,7 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of 2048 tokens."""
+    """The pieces of all documents, packed into sequences of 2048 tokens. A null text is one piece with the end alone."""
     return pack(docs, public_tokenizers.path(VOCAB), capacity=2048, end_id=0)
 
 
@@ -76,10 +81,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each one's rows are written and read again as the next one's docs."""
+    """Applies the stages to documents; each one's rows are written and read again as the next one's docs. What a stage writes
+    on the way is deleted with its end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with temporary():
+            docs = written(stage(spark, docs, sf_dir), outlive=True)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
