@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A segment that is an identifier by its look: it holds a digit, or is very long.
@@ -37,12 +37,17 @@ def _parts(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda x: x != "")
 
 
+def _looks_wild(segment: Column) -> Column:
+    return F.when(segment.rlike(_IDENTIFIER), F.concat(F.lit("*"), F.regexp_extract(segment, _EXTENSION, 0))).otherwise(segment)
+
+
 def _segments(path: Column, depth: int) -> list[Column]:
-    """The first depth segments, null where there are no more."""
-    return [F.get(_parts(path), F.lit(i)) for i in range(depth)]
+    """The first depth segments, null where there are no more; then what follows them, generalised by looks alone."""
+    deep = F.transform(F.slice(_parts(path), depth + 1, F.greatest(F.size(_parts(path)), F.lit(1))), _looks_wild)
+    return [*[F.get(_parts(path), F.lit(i)) for i in range(depth)], F.nullif(F.array_join(deep, "/"), F.lit(""))]
 
 
-def templates(paths: DataFrame, least: int = 20, spread: float = 0.5, distance: float = 0.25, gap: float = 0.15, weight: float = 10.0, prior: float = 0.5) -> DataFrame:
+def templates(paths: DataFrame, least: int = 20, spread: float = 0.5, distance: float = 0.25, gap: float = 0.15, weight: float = 10.0, prior: float = 0.5, most_levels: int = 16) -> DataFrame:
     """paths (host, path, n, labelled, bad) with `template`, `share` (smoothed share of bad labels in it) and `labels`.
 
     1. Level by level, a segment becomes a wildcard (keeping a file extension) if it looks like an identifier, or if the
@@ -50,63 +55,72 @@ def templates(paths: DataFrame, least: int = 20, spread: float = 0.5, distance:
     2. From the deepest level up, a named branch is merged with its siblings if its distribution over what follows differs
        from theirs by no more than `distance` in total variation (and sampling noise), and its smoothed share of bad labels
        by no more than `gap`. Siblings are compared with their pooled total, never in pairs.
-    3. A template's share is (bad + weight * prior share) / (labelled + weight).
+    3. Shares back off from a host to all hosts: (bad + weight * general share) / (labelled + weight), the general share being
+       that of the same branch or template over all hosts, (bad + weight * prior) / (labelled + weight). `labels` counts
+       those of all hosts.
 
-    Everything is aggregation by (host, prefix, ...): a hot host is only as many rows as it has different segments. There
-    are as many levels as the longest path has segments.
+    There are as many levels as the longest path has segments, up to most_levels; segments below take part by their looks
+    alone. Everything is aggregation by (host, prefix, ...) and joins back in which hot keys are dealt to cells; no side is
+    broadcast.
     """
     paths = written(paths)
-    depth = paths.agg(F.max(F.size(_parts(F.col("path"))))).first()[0] or 1
-    t = paths.select("host", "path", "n", "labelled", "bad", *[c.alias(f"s{i}") for i, c in enumerate(_segments(F.col("path"), depth))])
+    total, longest = paths.agg(F.count("*"), F.max(F.size(_parts(F.col("path"))))).first()
+    depth = min(longest or 1, most_levels)
+    names = [f"s{i}" for i in range(depth + 1)]
+    t = paths.select("host", "path", "n", "labelled", "bad", *[c.alias(x) for x, c in zip(names, _segments(F.col("path"), depth), strict=True)])
+    under = lambda i: F.to_json(F.array("host", *names[:i]))
+    meet = lambda rows, one, keys, salt, how="inner": spread_join(rows, one, keys, salt, total, how, "merge")
+    smooth = lambda bad, n, bad_all, n_all: (F.col(bad) + weight * (F.col(bad_all) + weight * prior) / (F.col(n_all) + weight)) / (F.col(n) + weight)
     for i in range(depth):
-        prefix = ["host", *[f"s{j}" for j in range(i)]]
-        shown = F.regexp_extract(f"s{i}", _EXTENSION, 0)
-        plain = t.where(F.col(f"s{i}").isNotNull() & ~F.col(f"s{i}").rlike(_IDENTIFIER))
-        at = plain.groupBy(*prefix, f"s{i}").agg(F.sum("n").alias("n")).groupBy(*[F.col(c).alias(f"k_{c}") for c in prefix]).agg(F.count("*").alias("_d"), F.sum("n").alias("_n"))
-        on = F.lit(True)
-        for c in prefix:
-            on = on & F.col(c).eqNullSafe(F.col(f"k_{c}"))
-        t = t.join(at.where((F.col("_d") >= least) & (F.col("_d") > spread * F.col("_n"))), on, "left")
-        wild = F.col(f"s{i}").rlike(_IDENTIFIER) | F.col("_d").isNotNull()
-        t = t.withColumn(f"s{i}", F.when(wild, F.concat(F.lit("*"), shown)).otherwise(F.col(f"s{i}"))).drop("_d", "_n", *[f"k_{c}" for c in prefix])
-        t = written(t)
-    for i in reversed(range(depth - 1)):
-        prefix = ["host", *[f"s{j}" for j in range(i)]]
-        named = t.where(F.col(f"s{i}").isNotNull() & ~F.startswith(F.col(f"s{i}"), F.lit("*")))
-        rest = F.concat_ws("/", *[F.coalesce(f"s{j}", F.lit("")) for j in range(i + 1, depth)])
-        keys = F.to_json(F.array(*prefix))
-        cell = named.groupBy(keys.alias("_p"), F.col(f"s{i}").alias("_b"), rest.alias("_r")).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
-        branch = cell.groupBy(F.col("_p").alias("_pb"), F.col("_b").alias("_bb")).agg(F.sum("n").alias("nb"), F.sum("labelled").alias("lb"), F.sum("bad").alias("bb"), F.count("*").alias("kinds"))
-        pool = cell.groupBy(F.col("_p").alias("_pp")).agg(F.sum("n").alias("np"), F.sum("labelled").alias("lp"), F.sum("bad").alias("bp"), F.count_distinct("_b").alias("branches"))
-        same = cell.groupBy(F.col("_p").alias("_ps"), F.col("_r").alias("_rs")).agg(F.sum("n").alias("ns"))
-        x = cell.join(branch, (F.col("_p") == F.col("_pb")) & (F.col("_b") == F.col("_bb"))).join(pool, F.col("_p") == F.col("_pp")).join(same, (F.col("_p") == F.col("_ps")) & (F.col("_r") == F.col("_rs")))
-        own, all_ = F.col("n") / F.col("nb"), F.col("ns") / F.col("np")
-        x = x.groupBy("_p", "_b").agg(((F.sum(F.abs(own - all_)) + 1 - F.sum(all_)) / 2).alias("_tv"), *[F.first(c).alias(c) for c in ("nb", "lb", "bb", "np", "lp", "bp", "branches", "kinds")])
-        smooth = lambda bad, n: (F.col(bad) + weight * prior) / (F.col(n) + weight)
-        alike = (F.col("branches") > 1) & (F.col("_tv") <= distance + F.sqrt(F.col("kinds") / F.col("nb")) / 2) & (F.abs(smooth("bb", "lb") - smooth("bp", "lp")) <= gap)
-        merged = x.where(alike).select(F.col("_p").alias("_mp"), F.col("_b").alias("_mb"))
-        t = t.withColumn("_key", keys).join(merged, (F.col("_key") == F.col("_mp")) & (F.col(f"s{i}") == F.col("_mb")), "left")
-        t = written(t.withColumn(f"s{i}", F.when(F.col("_mb").isNotNull(), "+").otherwise(F.col(f"s{i}"))).drop("_key", "_mp", "_mb"))
-    t = t.select("host", "path", "n", "labelled", "bad", F.concat(F.lit("/"), F.concat_ws("/", *[f"s{i}" for i in range(depth)])).alias("template"))
-    sums = t.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.sum("labelled").alias("labels"), F.sum("bad").alias("_bad"))
-    share = (F.col("_bad") + weight * prior) / (F.col("labels") + weight)
-    return t.join(sums, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).select("host", "path", "template", share.alias("share"), "labels")
+        own = F.col(names[i])
+        t = t.withColumn("_p", under(i))
+        plain = t.where(own.isNotNull() & ~own.rlike(_IDENTIFIER)).groupBy("_p", own.alias("_b")).agg(F.sum("n").alias("n"), F.count("*").alias("_rows"))
+        at = plain.groupBy("_p").agg(F.count("*").alias("_d"), F.sum("n").alias("_n"), F.sum("_rows").alias("_count"))
+        t = meet(t, at.where((F.col("_d") >= least) & (F.col("_d") > spread * F.col("_n"))), ["_p"], "path", "left")
+        wild = F.when(F.col("_d").isNotNull() & own.isNotNull(), F.concat(F.lit("*"), F.regexp_extract(own, _EXTENSION, 0))).otherwise(_looks_wild(own))
+        t = written(t.withColumn(names[i], wild).drop("_p", "_d", "_n", "_count"))
+    for i in reversed(range(depth)):
+        t = t.withColumn("_p", under(i))
+        named = t.where(F.col(names[i]).isNotNull() & ~F.startswith(F.col(names[i]), F.lit("*")))
+        rest = F.concat_ws("/", *[F.coalesce(x, F.lit("")) for x in names[i + 1 :]])
+        cell = written(named.groupBy("_p", F.to_json(F.array(*names[:i])).alias("_q") if i else F.lit("").alias("_q"), F.col(names[i]).alias("_b"), rest.alias("_r")).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")], F.count("*").alias("_rows")))
+        branch = cell.groupBy("_p", "_q", "_b").agg(F.sum("n").alias("nb"), F.sum("labelled").alias("lb"), F.sum("bad").alias("bb"), F.sum("_rows").alias("rows_b"), F.count("*").alias("kinds"))
+        general = branch.groupBy("_q", "_b").agg(F.sum("lb").alias("lg"), F.sum("bb").alias("bg"), F.count("*").alias("_count"))
+        branch = written(meet(branch, general, ["_q", "_b"], "_p").drop("_q").withColumn("_count", F.col("kinds")))
+        pool = branch.groupBy("_p").agg(F.sum("nb").alias("np"), *[F.sum(c).alias(c + "p") for c in ("lb", "bb", "lg", "bg")], F.count("*").alias("branches"), F.sum("kinds").alias("_count"))
+        same = cell.groupBy("_p", "_r").agg(F.sum("n").alias("ns"), F.count("*").alias("_count"))
+        x = meet(cell.select("_p", "_b", "_r", "n"), branch, ["_p", "_b"], "_r").drop("_count")
+        x = meet(meet(x, pool, ["_p"], "_b").drop("_count"), same, ["_p", "_r"], "_b")
+        mine, all_ = F.col("n") / F.col("nb"), F.col("ns") / F.col("np")
+        x = x.groupBy("_p", "_b").agg(((F.sum(F.abs(mine - all_)) + 1 - F.sum(all_)) / 2).alias("_tv"), *[F.first(c).alias(c) for c in (*branch.columns[2:], *pool.columns[1:-1])])
+        apart = F.abs(smooth("bb", "lb", "bg", "lg") - smooth("bbp", "lbp", "bgp", "lgp"))
+        alike = (F.col("branches") > 1) & (F.col("_tv") <= distance + F.sqrt(F.col("kinds") / F.col("nb")) / 2) & (apart <= gap)
+        merged = x.where(alike).select("_p", F.col("_b").alias(names[i]), F.lit("+").alias("_to"), F.col("rows_b").alias("_count"))
+        t = meet(t, merged, ["_p", names[i]], "path", "left")
+        t = written(t.withColumn(names[i], F.coalesce("_to", names[i])).drop("_p", "_to", "_count"))
+    t = t.select("host", "path", "n", "labelled", "bad", F.concat(F.lit("/"), F.concat_ws("/", *names)).alias("template"))
+    sums = t.groupBy("host", "template").agg(F.sum("labelled").alias("_l"), F.sum("bad").alias("_b"), F.count("*").alias("_rows"))
+    general = sums.groupBy("template").agg(F.sum("_l").alias("labels"), F.sum("_b").alias("_bad"), F.count("*").alias("_count"))
+    sums = meet(sums, general, ["template"], "host").drop("_count").withColumnRenamed("_rows", "_count")
+    out = meet(t, sums, ["host", "template"], "path")
+    return out.select("host", "path", "n", "template", smooth("_b", "_l", "_bad", "labels").alias("share"), "labels")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", label_col: str | None = None, reject: float = 0.7) -> DataFrame:
     """page_id, host, path, rule, verdict, template for every row of pages.
 
     A rule decides where one fits. Elsewhere the url's template does: it blocks if its smoothed share of bad labels is at
-    least `reject`. Labels are label_col (true: bad, null: none) or, without one, what the rules say about their own pages.
-    A url that is null or has no :// has an empty host and path and the template of that path; repeated rows are judged
-    each; a null id stays null; a template without labels is allowed.
+    least `reject`. Labels are label_col (true: bad, null: none) or, without one, what the rules say about their own pages,
+    which reach pages that no rule fits through the same template on other hosts. A url that is null or has no :// has an
+    empty host and path and the template of that path; repeated rows are judged each; a null id stays null; a template
+    without labels on any host is allowed. Other columns, whatever their names, aren't looked at.
     """
     host, path = host_and_path(F.col(url_col))
     p = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), (F.col(label_col).cast("boolean") if label_col else F.lit(None).cast("boolean")).alias("_label"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    p = written(p.withColumns({"rule": rule, "_said": verdict}))
+    p = written(p.withColumns({"rule": rule, "_said": verdict, "_row": F.monotonically_increasing_id()}))
     label = F.col("_label") if label_col else (F.col("_said") == "block")
     paths = p.groupBy("host", "path").agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.count_if(label).alias("bad"))
-    t = templates(paths).withColumnsRenamed({"host": "_h", "path": "_p"})
-    out = p.join(t, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("_said", F.when(F.col("share") >= reject, "block").otherwise("allow")).alias("verdict"), "template")
+    found = templates(paths).withColumnRenamed("n", "_count")
+    out = spread_join(p, found, ["host", "path"], "_row", p.count(), "inner", "merge")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("_said", F.when((F.col("labels") > 0) & (F.col("share") >= reject), "block").otherwise("allow")).alias("verdict"), "template")
