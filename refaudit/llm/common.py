@@ -137,10 +137,10 @@ def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], salt: str, tot
     return left.join(right, [*same("_own"), F.col("_salt") == F.col("_cell")], how).drop("_salt", "_cell", *[f"_own{i}" for i in range(len(keys))])
 
 
-def maybe_in(rows: DataFrame, h: Column, wanted: DataFrame, bits: int = 26) -> DataFrame:
+def maybe_in(rows: DataFrame, h: Column, wanted: DataFrame, bits: int = 24) -> DataFrame:
     """rows with `_maybe`: false only if their 64-bit h is none of `wanted` (one long column, _h). A join that decides follows.
 
-    Hashes mark a map of 2**bits bits, at most 8 MB whatever the size of the data, which is broadcast; a row that hits an
+    Hashes mark a map of 2**bits bits, at most 2 MB whatever the size of the data, which is broadcast; a row that hits an
     unmarked bit is not wanted. A full map lets all rows pass, so the result after the join never depends on it.
     """
     maps = wanted.select(F.pmod("_h", F.lit(1 << bits)).alias("_at")).groupBy(F.floor(F.col("_at") / 32768).alias("_map")).agg(F.bitmap_construct_agg(F.col("_at") % 32768).alias("_bits"))
