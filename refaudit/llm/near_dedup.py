@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, each, written
+from .common import connected, each, maybe_in, spread_join, written
 from .shingles import WordHashes, mix64, shingle_set
 
 BITS, MANTISSA = 7, 10
@@ -44,12 +44,18 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """(documents, BANDS) keys as int64 from (documents, M) registers."""
+    """(documents, BANDS) keys as int64 from (documents, M) registers; the lowest five bits are the number of the band."""
     parts = regs[:, : BANDS * ROWS].reshape(len(regs), BANDS, ROWS).astype(np.uint64)
     h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for i in range(ROWS):
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i])
-    return h.view(np.int64)
+    return (h & ~np.uint64(31) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band in which registers a (pairs, M) and b (M) agree; BANDS if there is none."""
+    same = (a[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS) == b[: BANDS * ROWS].reshape(BANDS, ROWS)).all(axis=2)
+    return np.where(same.any(axis=1), same.argmax(axis=1), BANDS)
 
 
 def collisions(n: np.ndarray) -> np.ndarray:
@@ -143,13 +149,16 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (est >= _floor(percent / 100, np.minimum(na, nb)))
                 yield b.select([0, 1]).filter(pa.array(ok))
 
-    a = reps.select(F.col("_row").alias("_hub"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra"))
+    size = pairs.groupBy("_hub").agg(F.count("*").alias("_count"))
+    a = size.join(reps.select(F.col("_row").alias("_hub"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra")), "_hub")
     b = reps.select("_row", F.col("n_shingles").alias("nb"), F.col("regs").alias("rb"))
-    return pairs.join(b, "_row").join(a, "_hub").select("_hub", "_row", "na", "nb", "ra", "rb").mapInArrow(run, "_hub long, _row long")
+    both = spread_join(pairs.join(b, "_row"), a, ["_hub"], "_row", pairs.count())
+    return both.select("_hub", "_row", "na", "nb", "ra", "rb").mapInArrow(run, "_hub long, _row long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(_row, set) for wanted (_row, doc_id, _t): the texts are read again and only the wanted ones are hashed."""
+    """(_row, set) for wanted (_row, doc_id, _t): the texts are read again and only the wanted ones are hashed; a bit map keeps
+    nearly all others out of the shuffle."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +170,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str
     text = F.col(text_col).cast("string")
     w = wanted.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_t2"), "_row")
     again = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_t"), text.alias("text"))
+    again = maybe_in(again, F.col("_t"), w.select(F.col("_t2").alias("_h"))).where("_maybe")
     hit = again.join(w, (F.col("_t") == F.col("_t2")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("_row", "text")
     return hit.mapInArrow(run, "_row long, set binary").dropDuplicates(["_row"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, share: int = 256) -> DataFrame:
     """Of pairs (_hub, _row), those linked on their full sets. A hub's set goes once to each `share` of its members."""
-    many = pairs.groupBy("_hub").agg(F.ceil(F.count("*") / share).cast("int").alias("_salts"))
-    members = pairs.join(many, "_hub").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int"))
+    many = pairs.groupBy("_hub").agg(F.ceil(F.count("*") / share).cast("int").alias("_salts"), F.count("*").alias("_count"))
+    members = spread_join(pairs, many, ["_hub"], "_row", pairs.count()).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int"))
     left = members.join(sets, "_row").select("_hub", "_salt", "_row", "set")
     hubs = many.join(sets.withColumnRenamed("_row", "_hub"), "_hub").select("_hub", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.lit(-1).cast("long").alias("_row"), "set")
 
@@ -181,60 +191,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, share: int = 256)
     return left.union(hubs).groupBy("_hub", "_salt").applyInPandas(run, "_hub long, _row long")
 
 
-def _block_pairs(members: DataFrame, block: int) -> DataFrame:
-    """members (_cluster, _row, ...) with a row for each pair of blocks (_i <= _j) of its cluster that it takes part in."""
-    sizes = members.groupBy("_cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    m = members.join(sizes, "_cluster").withColumn("_b", F.pmod(F.xxhash64("_row"), F.col("_blocks")).cast("int"))
+def _block_pairs(members: DataFrame, block: int, rows: int) -> DataFrame:
+    """members (_key, _row, _count, ...) with a row for each pair of blocks (_i <= _j) of its bucket that it takes part in, and
+    the task group _g: buckets of one block share groups of about `block` of the `rows` rows, other pairs have their own."""
+    m = members.withColumn("_blocks", F.ceil(F.col("_count") / block).cast("int"))
+    m = m.withColumn("_b", F.pmod(F.xxhash64("_row"), F.col("_blocks")).cast("int"))
     m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return m.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")}).drop("_o", "_blocks")
+    m = m.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")})
+    few = F.pmod(F.xxhash64("_key"), F.lit(-(-rows // block) or 1))
+    return m.withColumn("_g", F.when(F.col("_blocks") == 1, few).otherwise(F.xxhash64("_key", "_i", "_j"))).drop("_o", "_blocks")
+
+
+def _compared(part, percent: int):
+    """For each row x of the first block of the bucket `part`: (x, rows of the second block in another component whose
+    estimate allows a link, the estimates). A pair is met in the first band in which it agrees, and in no other."""
+    regs, comp, n = _regs(part["regs"]), part["_comp"].to_numpy(), part["n_shingles"].to_numpy()
+    b, i, j, band = part["_b"].to_numpy(), int(part["_i"].iloc[0]), int(part["_j"].iloc[0]), int(part["_key"].iloc[0]) & 31
+    right = np.flatnonzero(b == j)
+    for x in np.flatnonzero(b == i):
+        y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+        if len(y):
+            est = estimate(regs[y], regs[x][None, :], (n[y] + n[x]) / 2)
+            ok = est >= _floor(percent / 100, np.minimum(n[y], n[x]))
+            ok[ok] = first_band(regs[y[ok]], regs[x]) == band
+            if ok.any():
+                yield x, y[ok], est[ok]
 
 
-def _promising(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """Rows of members (_cluster, _row, _comp, n_shingles, regs) that have a partner in another component whose estimate allows a link."""
+def _promising(members: DataFrame, percent: int, block: int, rows: int) -> DataFrame:
+    """Of members (_key, _row, _comp, _count, n_shingles, regs), the distinct (_key, _row) that have a partner in their bucket to
+    be compared on full sets."""
 
     def run(part):
-        regs, comp, n = _regs(part["regs"]), part["_comp"].to_numpy(), part["n_shingles"].to_numpy()
-        b, i, j = part["_b"].to_numpy(), int(part["_i"].iloc[0]), int(part["_j"].iloc[0])
-        left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)
-        hit = np.zeros(len(part), bool)
-        for x in left:
-            y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-            if len(y):
-                est = estimate(regs[y], regs[x][None, :], (n[y] + n[x]) / 2)
-                ok = y[est >= _floor(percent / 100, np.minimum(n[y], n[x]))]
-                hit[ok] = True
-                hit[x] |= len(ok) > 0
-        return part.loc[hit, ["_row"]]
-
-    return _block_pairs(members, block).groupBy("_cluster", "_i", "_j").applyInPandas(run, "_row long").distinct()
-
-
-def _joined(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (_hub, _row) that join different components among members (_cluster, _row, _comp, set, regs, n_shingles); pairs
-    that are already connected within the task aren't compared."""
+        import pandas as pd
+
+        hit = [part.iloc[:0][["_key", "_row"]]]
+        for _, own in part.groupby(["_key", "_i", "_j"]):
+            near = np.zeros(len(own), bool)
+            for x, y, _ in _compared(own, percent):
+                near[x] = near[y] = True
+            hit.append(own.loc[near, ["_key", "_row"]])
+        return pd.concat(hit)
+
+    return _block_pairs(members, block, rows).groupBy("_g").applyInPandas(run, "_key long, _row long").distinct()
+
+
+def _joined(members: DataFrame, percent: int, block: int, rows: int) -> DataFrame:
+    """Links (_hub, _row) that join different components among members (as in _promising, with set); pairs that are already
+    connected within the task aren't compared."""
 
     def run(part):
         import pandas as pd
 
-        rows, comp, n = part["_row"].to_numpy(), part["_comp"].to_numpy(), part["n_shingles"].to_numpy()
-        regs, sets = _regs(part["regs"]), [np.frombuffer(s, np.uint64) for s in part["set"]]
-        b, i, j = part["_b"].to_numpy(), int(part["_i"].iloc[0]), int(part["_j"].iloc[0])
-        right = np.flatnonzero(b == j)
         known, out = _Union(), []
-        for x in np.flatnonzero(b == i):
-            y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-            if not len(y):
-                continue
-            est = estimate(regs[y], regs[x][None, :], (n[y] + n[x]) / 2)
-            ok = est >= _floor(percent / 100, np.minimum(n[y], n[x]))
-            for k in y[ok][np.argsort(-est[ok])]:
-                p, q = known.root(int(comp[x])), known.root(int(comp[k]))
-                if p != q and _linked(sets[x], sets[k], percent):
-                    known[p] = q
-                    out.append((rows[x], rows[k]))
+        for _, own in part.groupby(["_key", "_i", "_j"]):
+            row, comp, sets = own["_row"].to_numpy(), own["_comp"].to_numpy(), own["set"].to_numpy()
+            for x, y, est in _compared(own, percent):
+                for k in y[np.argsort(-est)]:
+                    p, q = known.root(int(comp[x])), known.root(int(comp[k]))
+                    if p != q and _linked(np.frombuffer(sets[x], np.uint64), np.frombuffer(sets[k], np.uint64), percent):
+                        known[p] = q
+                        out.append((row[x], row[k]))
         return pd.DataFrame(out, columns=["_hub", "_row"], dtype="int64")
 
-    return _block_pairs(members, block).groupBy("_cluster", "_i", "_j").applyInPandas(run, "_hub long, _row long")
+    return _block_pairs(members, block, rows).groupBy("_g").applyInPandas(run, "_hub long, _row long")
 
 
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
@@ -247,49 +267,52 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     1. Rows with equal sets form a class, found by a digest of the whole set; only one row of each goes on.
     2. In each band bucket every member is compared with the bucket's hub, the member with most bucket mates overall:
        as many pairs as members, however large the bucket.
-    3. Where a bucket's other members still lie in different components, they are compared across components in pairs of
-       blocks of `block` rows, first by registers, then by full sets.
+    3. A bucket whose other members are connected by then is done. In the others they are compared across components, in
+       pairs of blocks of the bucket, first by registers, then by full sets; a pair that shares several buckets is met in one.
+
+    Shingles are 64-bit hashes of 64-bit word hashes: n_shingles counts hashes, and two different shingles of a pair of
+    documents with m of them pass for one at odds of about m * m / 2**64 (one in a million at four million shingles).
+    Wherever rows meet a key of which they may be many (a class, bucket, hub or component), hot keys are dealt to cells.
 
     Empty and null texts have no shingles, no link and component_id = doc_id. A null id is never the smallest unless all are
     null; repeated rows are of one class. Columns other than the id and the text aren't looked at.
     """
     rows = written(sketches(docs, n, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
-    classes = rows.where("n_shingles > 0").groupBy("n_shingles", "digest").agg(F.min("_row").alias("_rep"), F.min("doc_id").alias("_low"))
+    total = rows.count()
+    classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("_row").alias("_rep"), F.min("doc_id").alias("_low"), F.count("*").alias("_count"))
     classes = written(classes)
-    reps = rows.join(classes.select(F.col("_rep").alias("_row"), "_low"), "_row").select("_row", "doc_id", "_t", "_low", "n_shingles", "regs")
-    reps = written(reps)
+    reps = written(rows.join(classes.select(F.col("_rep").alias("_row")), "_row").select("_row", "doc_id", "_t", "n_shingles", "regs"))
     bands = _band_rows(reps)
-    shared = bands.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1").withColumnRenamed("_key", "_k")
-    near = written(bands.join(shared, F.col("_key") == F.col("_k")).select("_key", "_row", "_c"))
-    mates = near.groupBy("_row").agg(F.sum("_c").alias("_mates"))
-    near = near.join(mates, "_row")
-    hubs = near.groupBy("_key").agg(F.max(F.struct("_mates", (-F.col("_row")).alias("r"))).alias("_h")).select(F.col("_key").alias("_k"), (-F.col("_h.r")).alias("_hub"))
-    starred = written(near.join(hubs, F.col("_key") == F.col("_k")).select("_key", "_row", "_hub"))
-    pairs = written(_estimated(starred.where("_row <> _hub").select("_hub", "_row").distinct(), reps, percent))
+    shared = bands.groupBy("_key").agg(F.count("*").alias("_count")).where("_count > 1")
+    near = written(spread_join(bands, shared, ["_key"], "_row", BANDS * total).select("_key", "_row", "_count"))
+    met = near.count()
+    mates = near.groupBy("_row").agg(F.sum("_count").alias("_mates"))
+    hubs = near.join(mates, "_row").groupBy("_key").agg(F.max(F.struct("_mates", (-F.col("_row")).alias("r"))).alias("_h"), F.count("*").alias("_count"))
+    hubs = hubs.select("_key", (-F.col("_h.r")).alias("_hub"), "_count")
+    starred = written(spread_join(near.select("_key", "_row"), hubs, ["_key"], "_row", met).select("_key", "_row", "_hub"))
+    pairs = written(_estimated(written(starred.where("_row <> _hub").select("_hub", "_row").distinct()), reps, percent))
     wanted = pairs.select("_row").union(pairs.select(F.col("_hub").alias("_row"))).distinct()
     sets = written(_sets(docs, reps.join(wanted, "_row").select("_row", "doc_id", "_t"), n, id_col, text_col))
     links = written(_verified(pairs, sets, percent))
-    comps = connected(links.select(F.col("_hub").alias("a"), F.col("_row").alias("b")))
-    comps = written(comps.withColumnsRenamed({"node": "_n", "root": "_comp"}))
+    comps = written(connected(links.select(F.col("_hub").alias("a"), F.col("_row").alias("b"))).withColumnsRenamed({"node": "_n", "root": "_comp"}))
     # Buckets whose members other than the hub lie in different components hold pairs that weren't compared.
-    other = starred.where("_row <> _hub").join(comps, F.col("_row") == F.col("_n"), "left").select("_key", "_row", F.coalesce("_comp", "_row").alias("_comp"))
-    split = other.groupBy("_key").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y"), F.min("_row").alias("_first")).where("_x <> _y").select(F.col("_key").alias("_k"), "_first")
-    rest = written(other.join(split, F.col("_key") == F.col("_k")).select("_row", "_comp", "_first").distinct())
-    if not rest.isEmpty():
-        cluster = connected(rest.select(F.col("_row").alias("a"), F.col("_first").alias("b"))).withColumnsRenamed({"node": "_row", "root": "_cluster"})
-        members = rest.select("_row", "_comp").distinct().join(cluster, "_row").join(reps.select("_row", "n_shingles", "regs"), "_row")
-        members = written(members)
-        hot = written(_promising(members, percent, block))
+    other = written(starred.where("_row <> _hub").join(comps, F.col("_row") == F.col("_n"), "left").select("_key", "_row", F.coalesce("_comp", "_row").alias("_comp")))
+    split = other.groupBy("_key").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y"), F.count("*").alias("_count")).where("_x <> _y").select("_key", "_count")
+    rest = written(spread_join(other, split, ["_key"], "_row", met).join(reps.select("_row", "n_shingles", "regs"), "_row"))
+    left = rest.count()
+    if left:
+        # Registers are small, so eight times as many rows of them meet as of sets.
+        hot = written(_promising(rest, percent, 8 * block, left))
         if not hot.isEmpty():
-            missing = hot.join(sets.select("_row"), "_row", "left_anti")
+            missing = hot.select("_row").distinct().join(sets.select("_row"), "_row", "left_anti")
             more = sets.union(_sets(docs, reps.join(missing, "_row").select("_row", "doc_id", "_t"), n, id_col, text_col))
-            found = written(_joined(members.join(hot, "_row").join(more, "_row"), percent, block))
+            found = written(_joined(rest.join(hot, ["_key", "_row"]).join(more, "_row"), percent, block, hot.count()))
             links = links.union(found)
             comps = written(connected(links.select(F.col("_hub").alias("a"), F.col("_row").alias("b"))).withColumnsRenamed({"node": "_n", "root": "_comp"}))
     # Smallest id of each component over all its classes, then back to every row.
-    low = classes.join(comps, F.col("_rep") == F.col("_n"), "left").select("n_shingles", "digest", "_low", F.coalesce("_comp", "_rep").alias("_comp"))
-    smallest = low.groupBy(F.col("_comp").alias("_c")).agg(F.min("_low").alias("_id"))
-    by_class = low.join(smallest, F.col("_comp") == F.col("_c")).select(F.col("n_shingles").alias("_s"), F.col("digest").alias("_g"), "_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(by_class, (F.col("n_shingles") == F.col("_s")) & (F.col("digest") == F.col("_g")), "left")
+    low = written(classes.join(comps, F.col("_rep") == F.col("_n"), "left").select("digest", "_low", "_count", F.coalesce("_comp", "_rep").alias("_comp")))
+    smallest = low.groupBy("_comp").agg(F.min("_low").alias("_id"), F.count("*").alias("_count"))
+    by_class = spread_join(low.withColumnRenamed("_count", "_rows"), smallest, ["_comp"], "digest", total).select("digest", "_id", F.col("_rows").alias("_count"))
+    out = spread_join(rows.select("doc_id", "n_shingles", "digest", "_row"), by_class, ["digest"], "_row", total, "left")
     component = F.coalesce("_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
