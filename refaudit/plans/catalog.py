@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import layout, queries, sql
+from . import branches, layout, queries, sql
 
-QUERIES = queries.QUERIES | layout.QUERIES
-SQL = sql.SQL | layout.SQL
+QUERIES = queries.QUERIES | layout.QUERIES | branches.QUERIES
+SQL = sql.SQL | layout.SQL | branches.SQL

@@ -279,17 +279,17 @@ def scr01_evidence(spark, d):
     return _scored_by_doi(spark, d).select(*KEY, F.array_join("match.evidence", "; ").alias("evidence"))
 
 
-def _ranked(spark, d):
+def ranked_without_doi(spark, d):
     keyed = J.with_keys(C.references(spark, d)).where("ref_doi is null")
     return J.ranked(J.scored(keyed.join(J.candidates(keyed.select(*KEY, "ref_tokens"), _works(spark, d), KEY), KEY)), KEY)
 
 
 def win07_rank(spark, d):
-    return _ranked(spark, d).select(*KEY, F.col("rank").cast("long").alias("rank"), F.col("cand.doi").alias("doi"), _six(F.col("match.score")).alias("score"))
+    return ranked_without_doi(spark, d).select(*KEY, F.col("rank").cast("long").alias("rank"), F.col("cand.doi").alias("doi"), _six(F.col("match.score")).alias("score"))
 
 
 def win08_gap(spark, d):
-    return _ranked(spark, d).where("rank = 1").select(*KEY, _six(F.col("match.score") - F.col("next_score")).alias("gap"), (F.col("match.score") - F.col("next_score") < A.CLOSE_GAP).alias("close"))
+    return ranked_without_doi(spark, d).where("rank = 1").select(*KEY, _six(F.col("match.score") - F.col("next_score")).alias("gap"), (F.col("match.score") - F.col("next_score") < A.CLOSE_GAP).alias("close"))
 
 
 # Audit and reports

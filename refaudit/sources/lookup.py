@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, path_encode
@@ -30,6 +30,16 @@ class Config:
             if not isinstance(getattr(self, name), int) or getattr(self, name) < 0:
                 raise ValueError(f"{name} must be a number of at least 0")
 
+    @classmethod
+    def of(cls, spark: SparkSession, prefix: str = "spark.refaudit.") -> Config:
+        """From the session's settings: prefix + a field's name. What isn't a whole number where one is due is an error."""
+        given = {f.name: spark.conf.get(prefix + f.name, None) for f in fields(cls)}
+        text = {k: v for k, v in given.items() if v is not None}
+        bad = [k for k, v in text.items() if k != "mailto" and not v.strip().isdigit()]
+        if bad:
+            raise ValueError(f"{', '.join(prefix + k for k in bad)} must be a number of at least 0")
+        return cls(**{k: v if k == "mailto" else int(v) for k, v in text.items()})
+
 
 def _query(**params: Column | str) -> Column:
     pairs = [F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(k + "="), F.url_encode(v))) for k, v in ((k.replace("__", "."), F.lit(v) if isinstance(v, str) else v) for k, v in params.items())]
@@ -65,7 +75,7 @@ def delay_ms(attempt: int, status: int | None, retry_after: float | None = None)
 def fetch_json(urls: DataFrame, get: Callable[[str], tuple[int, str, float | None]], config: Config = Config(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """urls (key columns, url) with status, body and error. `get` returns (status, body, retry-after seconds) of one request.
 
-    The limit is on the service, so requests run in `concurrency` partitions, each keeping its share of the interval; retried
+    Rows come back in no order; an ordinal among the key columns restores it. The limit is on the service, so requests run in `concurrency` partitions, each keeping its share of the interval; retried
     are failures to connect and the retriable statuses.
     """
     lanes = max(1, config.concurrency)

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PLACE = "doc_id string, kind string, page_no int, page_width double, page_height double, no int, x0 double, y0 double, x1 double, y1 double, text string, error string"
 
 
+def is_pdf(name: Column, mime: Column) -> Column:
+    """By its MIME type, or by the end of its name."""
+    return F.coalesce(mime == "application/pdf", F.lit(False)) | F.coalesce(F.endswith(F.lower(name), F.lit(".pdf")), F.lit(False))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """PDF files as (path, content); other files are left out by name."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path).select("path", "content")

@@ -8,20 +8,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import processed_text
 from ..operators.audit import audit
-from ..operators.report import events
+from ..operators.report import EVENT_SCHEMA, events
 from ..operators.segment import exploded, references_of
+from ..sources.lookup import Config
 
 KEY = ["doc_id", "ref_no"]
-EVENT_SCHEMA = "event string, index int, total int, confidence string, doi string, error string"
 
-
-def audit_documents(docs: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame]:
+def audit_documents(docs: DataFrame, works: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """(documents, audited references) of docs (doc_id, raw)."""
     docs = docs.withColumn("text", processed_text(F.col("raw")))
-    return docs, audit(exploded(references_of(docs), ["doc_id"]), works, KEY)
+    return docs, audit(exploded(references_of(docs, limit=config.max_references), ["doc_id"]), works, KEY, config.rows)
 
 
-def audit_stream(spark: SparkSession, source: str, works: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+def audit_stream(spark: SparkSession, source: str, works: DataFrame, sink: str, checkpoint: str, config: Config | None = None) -> StreamingQuery:
     """Audits every text file that arrives in `source`, one document a file, and writes its event lines to `sink`.
 
     Each micro-batch replaces its own folder, so a batch that is run again after a failure leaves no line twice. Stops when
@@ -29,7 +28,7 @@ def audit_stream(spark: SparkSession, source: str, works: DataFrame, sink: str,
     docs = spark.readStream.format("text").option("wholetext", True).load(source).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("raw"))
 
     def write(batch: DataFrame, number: int) -> None:
-        own, audited = audit_documents(batch, works)
+        own, audited = audit_documents(batch, works, config or Config.of(spark))
         lines = events(own, audited).select("doc_id", "seq", "value").repartition("doc_id").sortWithinPartitions("doc_id", "seq")
         lines.select("value").write.mode("overwrite").text(f"{sink}/batch={number}")
 
@@ -37,8 +36,9 @@ def audit_stream(spark: SparkSession, source: str, works: DataFrame, sink: str,
 
 
 def read_event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Event lines as they arrive."""
-    return spark.readStream.schema(EVENT_SCHEMA).json(path)
+    """Event lines as they arrive, with the time `ts` at which their file was written."""
+    files = spark.readStream.schema(EVENT_SCHEMA).option("recursiveFileLookup", True).json(path)
+    return files.withColumn("ts", F.col("_metadata.file_modification_time"))
 
 
 def finished(stream: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
