@@ -1,39 +1,88 @@
+"""Citations built from known fields, and what has to be read from them; then the rules' edges, one by one."""
+
+import random
+
 import pytest
 
 from refaudit.functions.metadata import FIELDS, with_metadata
 
-CASES = {
-    "apa": ("Quill, C. J., Ink, L. A., ... & Paper, G. C. (2007). The anatomy of invented citations. Annu. Rev. Letters, 28, 235-258. https://doi.org/10.1000/q.2007.004", {"authors": "Quill, C. J., Ink, L. A., ... & Paper, G. C.", "date": "2007", "title": "The anatomy of invented citations"}),
-    "acm_article": ("[8] Mary Quill and Rob Ink. 2025. Tuning Gadget Models in Times of Invented Data. ACM Trans. Gadg. Eval. 25, 3, Article 26 (June 2025), 9 pages. doi:10.1000/acm.25.26", {"authors": "Mary Quill and Rob Ink", "date": "2025", "title": "Tuning Gadget Models in Times of Invented Data"}),
-    "proceedings": ("[2] A. Quill, B. Ink, and E. Paper, “Using invented records for gadgets,” in Proc. 21st Gadget Conf. on Letters, pp. 1–3, 2021, doi: 10.1000/g.2021.002.", {"authors": "A. Quill, B. Ink, and E. Paper", "date": "2021", "title": "Using invented records for gadgets", "venue": "Proc. 21st Gadget Conf. on Letters", "pages": "1–3"}),
-    "acronym": ('[1] D. Quill, "Venue Names That Hold Years," in Proceedings of the 2020 Gadget Meeting (GM \'20), Some City, TS, USA, 2020.', {"venue": "Proceedings of the 2020 Gadget Meeting (GM '20)", "date": "2020"}),
-    "journal_quoted": ("[3] Y. Quill, “Learning to Build Gadgets,” Journal of Gadgets, vol. 23, no. 1, 2024, doi: 10.1000/jg.v23i1.450.", {"venue": "Journal of Gadgets", "volume": "23", "issue": "1", "pages": ""}),
-    "one_page": ("[9] A. Quill, “Using a card game as a task,” Gadget Research – Notes, vol. 1, no. 2, p. 45, 2025, doi: 10.1000/h5.", {"venue": "Gadget Research – Notes", "volume": "1", "issue": "2", "pages": "45"}),
-    "no_issue": ("[5] Avery Quill and Finley Ink. 2017. Changing a Gadget’s Way: Testing With Letters. Journal of Gadgets 87 (2017), 834 – 860. doi:10.1000/g.005", {"title": "Changing a Gadget’s Way: Testing With Letters", "venue": "Journal of Gadgets", "volume": "87", "issue": "", "pages": "834 – 860"}),
-    "issue": ("[6] Casey Quill. 2013. Gadgets in K–12: A View of It. Journal of Letters 42, 1 (2013), 38–43. arXiv:https://doi.org/10.1000/l.42 doi:10.1000/l.42", {"venue": "Journal of Letters", "volume": "42", "issue": "1", "pages": "38–43"}),
-    "in_proceedings": ("[5] Irene Quill. 2021. Making Invented Gadgets Work. In Proceedings of the 52nd Gadget Symposium on Letters (Online) (GS ’21). Some Society, New York, NY, USA, 191–197. https://doi.org/10.1000/g.005", {"venue": "Proceedings of the 52nd Gadget Symposium on Letters (Online) (GS ’21)", "pages": "191–197"}),
-    "month": ("[6] Phoebe Quill. 2020. Gadgetbot: A Talking Thing. Proceedings of the Gadget Meeting 34, 09 (Apr. 2020), 13381–13388. https://doi.org/10.1000/v34", {"venue": "Proceedings of the Gadget Meeting", "volume": "34", "issue": "09", "pages": "13381–13388"}),
-    "year_last": ("Smith, J. Title of a paper. Journal of Testing 2020.", {"title": "", "date": "2020"}),
-    "quoted_keeps_year": ('A. B, "Some title here," Journal X, 2024, doi: 10.1000/x.', {"venue": "Journal X, 2024"}),
-    "empty": ("", dict.fromkeys(FIELDS, "")),
-}
+WORDS = "tidal basalt lichen harbour meadow copper lantern orchard quartz willow saddle marble".split()
 
 
-@pytest.fixture(scope="module")
-def extracted(spark):
-    df = spark.createDataFrame([(k, v[0]) for k, v in CASES.items()] + [("null", None)], "k string, reference string")
-    return {r.k: r.extracted.asDict() for r in with_metadata(df).collect()}
+def _field(r):
+    title = " ".join(r.sample(WORDS, r.randrange(3, 7))).capitalize()
+    first = r.randrange(1, 900)
+    return {
+        "authors": ", ".join(f"{r.choice('KLMNP')}. {r.choice(WORDS).capitalize()}" for _ in range(r.randrange(1, 4))),
+        "date": str(r.randrange(1900, 2100)), "title": title, "venue": f"Annals of {r.choice(WORDS)} Studies",
+        "volume": str(r.randrange(1, 99)), "issue": str(r.randrange(1, 13)), "pages": f"{first}{r.choice(['-', '–'])}{first + r.randrange(1, 40)}",
+    }
+
+
+def _marker(r):
+    return r.choice(["", f"[{r.randrange(1, 200)}] ", f"{r.randrange(1, 200)}. ", f"{r.randrange(1, 200)}) "])
+
+
+def _plain(r, f):
+    return f"{_marker(r)}{f['authors']}. {f['date']}. {f['title']}. {f['venue']} {f['volume']}, {f['issue']} ({f['date']}), {f['pages']}.", f | {"authors": f["authors"]}
+
+
+def _dated(r, f):
+    authors = "; ".join(reversed(f["authors"].split(", ")))
+    return f"{authors} ({f['date']}). {f['title']}. {f['venue']} {f['volume']} ({f['date']}), {f['pages']}. https://doi.org/10.5555/{r.randrange(10**6)}", f | {"authors": authors, "issue": ""}
+
 
+def _quoted(r, f):
+    a, b = r.choice(['""', "“”"])
+    return f"{_marker(r)}{f['authors']}, {a}{f['title']},{b} {r.choice(['', 'in '])}{f['venue']}, vol. {f['volume']}, no. {f['issue']}, pp. {f['pages']}, {f['date']}.", f
 
-@pytest.mark.parametrize("name", CASES)
-def test_fields(extracted, name):
-    wanted = CASES[name][1]
-    assert {k: extracted[name][k] for k in wanted} == wanted
+
+def _bare(r, f):
+    return f"{f['authors']}. {f['date']}. {f['title']}.", f | dict.fromkeys(("venue", "volume", "issue", "pages"), "")
+
+
+def _read(spark, references):
+    df = spark.createDataFrame(list(enumerate(references)), "i int, reference string")
+    return [r.extracted.asDict() for r in with_metadata(df).orderBy("i").collect()]
+
+
+def test_fields_come_back(spark):
+    r = random.Random(11)
+    made = [r.choice([_plain, _dated, _quoted, _bare])(r, _field(r)) for _ in range(400)]
+    for (reference, want), got in zip(made, _read(spark, [m[0] for m in made]), strict=True):
+        assert got == want, reference
+
+
+EDGES = {
+    # the first year counts, words that only look like one don't
+    "N. Fern. Survey 20195. 1899. Reached 2031 places today. 2044.": {"date": "2031"},
+    # a quoted title wins over what follows the year; fewer than three characters are no title
+    'L. Moss, 2003. "Salt," Not the title at all.': {"title": "Salt"},
+    'L. Moss. 2003. "It" was here again. Done.': {"title": '"It" was here again'},
+    # segments that name a venue, hold a semicolon or have fewer than three words are no titles
+    "L. Moss. 2003. Two words. One; two three four. IEEE list of things. Where the river bends. End.": {"title": "Where the river bends"},
+    # volume letters, page ranges with spaces, and the last range of several
+    "L. Moss. 2003. Where the river bends. Bog Letters 7B (2003), 5 — 9.": {"venue": "Bog Letters", "volume": "7B", "issue": "", "pages": "5 — 9"},
+    "L. Moss. 2003. Where the river bends. In Proceedings of Bogs, 3-4 and 11-12.": {"venue": "Proceedings of Bogs, 3-4 and 11-12", "pages": "11-12"},
+    # after a quote: a year at the end goes, one inside stays; an acronym ends the venue; a single page
+    'K. Reed, "Where it bends," Bog Days 1999 Notes, 2004.': {"venue": "Bog Days 1999 Notes"},
+    'K. Reed, "Where it bends," in Meeting on Bogs (MOB), Riga, Latvia, 2004.': {"venue": "Meeting on Bogs (MOB)"},
+    'K. Reed, "Where it bends," Bog Notes, vol. A-1, no. 3b, p. 77, 2004.': {"volume": "A-1", "issue": "3b", "pages": "77"},
+    # nothing to read
+    "": dict.fromkeys(FIELDS, ""),
+}
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return dict(zip(EDGES, _read(spark, list(EDGES)), strict=True))
 
 
-def test_article_venue(extracted):
-    assert "ACM Trans" in extracted["acm_article"]["venue"]
+@pytest.mark.parametrize("reference", EDGES)
+def test_edges(edges, reference):
+    assert {k: edges[reference][k] for k in EDGES[reference]} == EDGES[reference]
 
 
-def test_null(extracted):
-    assert extracted["null"] == dict.fromkeys(FIELDS, "")
+def test_null(spark):
+    df = spark.createDataFrame([(None,)], "reference string")
+    assert with_metadata(df).first().extracted.asDict() == dict.fromkeys(FIELDS, "")
