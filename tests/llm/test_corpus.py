@@ -1,9 +1,7 @@
 """Mixing, sharding, top-k, URL filter, exact and near dedup, and the pipeline, against brute force."""
 
-import hashlib
 import random
 import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -19,6 +17,8 @@ from refaudit.llm.shingles import WordHashes, shingle_set
 from refaudit.llm.topk import top_k
 from refaudit.llm.url_filter import judge, templates
 
+from .brute import brute_exact, brute_near, brute_templates, brute_top, water
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -40,28 +40,11 @@ def _grouped(rows, key):
 
 # Mixing
 
-def _water(sizes, weights, share, most):
-    names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode()) + [None] * (None in sizes)
-    w = {n: weights[i % len(weights)] for i, n in enumerate(names)}
-    left, target, open_ = share * sum(sizes.values()), dict.fromkeys(names, 0.0), set(names)
-    while left > 1e-9 and open_:
-        total = sum(w[n] for n in open_)
-        give = {n: left * w[n] / total for n in open_}
-        left = 0.0
-        for n in list(open_):
-            target[n] += give[n]
-            if target[n] >= most * sizes[n]:
-                left += target[n] - most * sizes[n]
-                target[n] = most * sizes[n]
-                open_.discard(n)
-    return target
-
-
 @pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 10, "b": 1000, "é": 50, "Z": 5, None: 70}, {"a": 7}, {"a": 0, "b": 0}])
 def test_targets(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
     got = {r.source: r.target for r in targets(df).collect()}
-    assert got == pytest.approx(_water(sizes, (5, 2, 1), 1.5, 2.0))
+    assert got == pytest.approx(water(sizes, (5, 2, 1), 1.5, 2.0))
 
 
 def test_schedule_is_even(spark):
@@ -130,23 +113,13 @@ def test_shards_odd(odd):
 
 # Top-k
 
-def _brute_top(rows, k=10):
-    vs = [(i, np.floor(1024 * np.asarray(v, np.float64))) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
-    out = []
-    for a, (i, x) in enumerate(vs):
-        if i % 100 == 0:
-            s = sorted((-int(sum(p * q for p, q in zip(x.tolist(), y.tolist()))), j) for b, (j, y) in enumerate(vs) if a != b)[:k]
-            out += [(i, n + 1, j, -v) for n, (v, j) in enumerate(s)]
-    return sorted(out)
-
-
 def test_top_k(spark):
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 1) * (1 + i % 7) for _ in range(12)]) for i in range(400)]
     rows += [(500 + i, rows[0][1]) for i in range(30)] + [(1, None), (2, [1.0, None]), (3, [float("nan")] * 12), (4, [float("inf")] * 12), (600, [0.5]), (700, []), (None, [1.0] * 12)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).repartition(3)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, F.col("vec_id") % 100 == 0, block=32, queries_block=2).collect())
-    assert got == _brute_top(rows)
+    assert got == brute_top(rows)
 
 
 def test_top_k_overlong_vectors(spark):
@@ -172,7 +145,7 @@ def test_top_k_meets_few_groups(spark):
     """Vectors far too short for any query's bound are not sent to it."""
     rows = [(i, [float(100 + i), 1.0]) for i in range(50)] + [(100 + i, [0.01, 0.01 * (i % 5)]) for i in range(500)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert sorted(map(tuple, top_k(df, F.col("vec_id") == 0, block=32, group=1).collect())) == [x for x in _brute_top(rows) if x[0] == 0]
+    assert sorted(map(tuple, top_k(df, F.col("vec_id") == 0, block=32, group=1).collect())) == [x for x in brute_top(rows) if x[0] == 0]
 
 
 def test_top_k_few_and_none(spark):
@@ -209,53 +182,6 @@ def test_templates_reject_by_labels(spark):
     assert judge(df.limit(0), RULES).count() == 0
 
 
-def _brute_templates(paths, least=20, spread=0.5, distance=0.25, gap=0.15, weight=10.0, prior=0.5):
-    """The definition of templates, row by row: paths {(host, path): (n, labelled, bad)} -> {(host, path): (template, share, labels)}."""
-    wild = lambda x: re.search(r"[0-9]|^.{40,}$", x)
-    ext = lambda x: "*" + (m[0] if (m := re.search(r"\.[A-Za-z]{1,5}$", x)) else "")
-    rows = {k: [x for x in k[1].split("/") if x] for k in paths}
-    depth = max([len(x) for x in rows.values()] + [1])
-    for i in range(depth):
-        seen = defaultdict(Counter)
-        for (h, p), x in rows.items():
-            if len(x) > i and not wild(x[i]):
-                seen[h, tuple(x[:i])][x[i]] += paths[h, p][0]
-        many = {k for k, c in seen.items() if len(c) >= least and len(c) > spread * sum(c.values())}
-        rows = {k: [ext(y) if j == i and (wild(y) or (k[0], tuple(x[:i])) in many) else y for j, y in enumerate(x)] for k, x in rows.items()}
-    for i in reversed(range(depth)):
-        cells = defaultdict(lambda: defaultdict(lambda: defaultdict(lambda: np.zeros(3))))
-        for k, x in rows.items():
-            if len(x) > i and not x[i].startswith("*"):
-                cells[k[0], tuple(x[:i])][x[i]][tuple(x[i + 1 :])] += paths[k]
-        merged, general = set(), defaultdict(lambda: np.zeros(3))
-        for (_, prefix), branches in cells.items():
-            for b, own in branches.items():
-                general[prefix, b] += sum(own.values())
-        for at, branches in cells.items():
-            pool = defaultdict(lambda: np.zeros(3))
-            for own in branches.values():
-                for r, v in own.items():
-                    pool[r] = pool[r] + v
-            whole = sum(pool.values())
-            wide = sum(general[at[1], b] for b in branches)
-            smooth = lambda v, g: (v[2] + weight * (g[2] + weight * prior) / (g[1] + weight)) / (v[1] + weight)
-            for b, own in branches.items():
-                all_ = sum(own.values())
-                tv = sum(abs((own[r][0] if r in own else 0) / all_[0] - pool[r][0] / whole[0]) for r in pool) / 2
-                if len(branches) > 1 and tv <= distance + (len(own) / all_[0]) ** 0.5 / 2 and abs(smooth(all_, general[at[1], b]) - smooth(whole, wide)) <= gap:
-                    merged.add((at, b))
-        rows = {k: [*x[:i], "+", *x[i + 1 :]] if len(x) > i and ((k[0], tuple(x[:i])), x[i]) in merged else x for k, x in rows.items()}
-    here, all_ = defaultdict(lambda: np.zeros(2)), defaultdict(lambda: np.zeros(2))
-    for k, x in rows.items():
-        here[k[0], tuple(x)] += paths[k][1:]
-        all_[tuple(x)] += paths[k][1:]
-    out = {}
-    for k, x in rows.items():
-        (l, b), (la, ba) = here[k[0], tuple(x)], all_[tuple(x)]
-        out[k] = ("/" + "/".join(x), (b + weight * (ba + weight * prior) / (la + weight)) / (l + weight), la)
-    return out
-
-
 def test_templates_against_brute_force(spark):
     r = random.Random(9)
     paths = {}
@@ -268,7 +194,7 @@ def test_templates_against_brute_force(spark):
             paths[h, "/" + "/".join(segments)] = (n, labelled, labelled if one == "shop" else r.randrange(labelled + 1) // 2)
     df = spark.createDataFrame([(*k, *v) for k, v in paths.items()], "host string, path string, n long, labelled long, bad long")
     got = {(x.host, x.path): (x.template, x.share, x.labels) for x in templates(df, least=6).collect()}
-    want = _brute_templates(paths, least=6)
+    want = brute_templates(paths, least=6)
     assert got.keys() == want.keys()
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert all(got[k][1] == pytest.approx(v[1]) and got[k][2] == v[2] for k, v in want.items())
@@ -301,22 +227,10 @@ def test_templates_tell_deep_branches_apart(spark):
 
 # Exact dedup
 
-def _brute_exact(rows):
-    groups = defaultdict(list)
-    for k, (i, t) in enumerate(rows):
-        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is None, i or 0, k))
-    out = []
-    for z, own in groups.items():
-        best = min(own)
-        keep = rows[best[3]][0]
-        out += [(rows[k][0], keep, len(own), k == best[3], hashlib.sha256(z.encode()).hexdigest()) for *_, k in own]
-    return Counter((i, keep, n, kept, h) for i, keep, n, kept, h in out)
-
-
 def test_exact_odd(odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_groups(odd).collect())
-    assert got == _brute_exact(rows)
+    assert got == brute_exact(rows)
     assert exact_groups(odd.limit(0)).count() == 0
 
 
@@ -324,41 +238,17 @@ def test_exact_splits_late(spark):
     body = "x" * 5000
     rows = [(i, body + tail) for i, tail in enumerate(["a", "b", "a", "c", "b", "a "])] + [(10, body), (11, "y" + body), (12, "x" * 5001 + "é"), (13, "x" * 5001 + "è")] + [(20 + i, "same") for i in range(300)]
     got = Counter(tuple(r)[:5] for r in exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), first=4, factor=3).collect())
-    assert got == _brute_exact(rows)
+    assert got == brute_exact(rows)
 
 
 # Near dedup
 
-def _brute_near(rows, n, percent):
-    sets = []
-    for i, t in rows:
-        w = (t or "").encode().lower().split()
-        sets.append(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []))
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in range(len(rows)):
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * len(sets[a] | sets[b]):
-                root[find(a)] = find(b)
-    low = {}
-    for k, (i, _) in enumerate(rows):
-        if i is not None:
-            low[find(k)] = min(low.get(find(k), i), i)
-    return Counter((i, len(sets[k]), c := low.get(find(k)), i == c) for k, (i, _) in enumerate(rows))
-
-
 def _near(df, n, percent):
     return Counter(tuple(r) for r in near_groups(df, n, percent).collect())
 
 
 def test_near_odd(odd):
-    assert _near(odd, 3, 85) == _brute_near([(r.doc_id, r.text) for r in odd.collect()], 3, 85)
+    assert _near(odd, 3, 85) == brute_near([(r.doc_id, r.text) for r in odd.collect()], 3, 85)
     assert near_groups(odd.limit(0)).count() == 0
 
 
@@ -378,8 +268,8 @@ def test_near_chains_and_crowds(spark):
     rows += [(900 + i, " ".join(f"u{rng.randrange(5000)}" for _ in range(60))) for i in range(50)] + [(1000 + i, rows[0][1].upper()) for i in range(20)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert _near(df, 3, 85) == _brute_near(rows, 3, 85)
-    assert Counter(tuple(r) for r in near_groups(df, 3, 85, block=8).collect()) == _brute_near(rows, 3, 85)
+    assert _near(df, 3, 85) == brute_near(rows, 3, 85)
+    assert Counter(tuple(r) for r in near_groups(df, 3, 85, block=8).collect()) == brute_near(rows, 3, 85)
 
 
 def test_estimates_follow_similarity():
@@ -412,9 +302,9 @@ def test_pipeline(spark, tmp_path):
             assert df.columns == P.COLUMNS
     start, known, exact, near, mixed, packed = seen
     assert set(start.doc_id) - set(known.doc_id) == {10_001, 10_002}
-    want = {k for (_, k, _, kept, _) in _brute_exact(list(zip(known.doc_id, known.text))) if kept}
+    want = {k for (_, k, _, kept, _) in brute_exact(list(zip(known.doc_id, known.text))) if kept}
     assert set(exact.doc_id) == want and len(exact) == len(want)
-    want = {i for (i, _, _, kept) in _brute_near(list(zip(exact.doc_id, exact.text)), 5, 80) if kept}
+    want = {i for (i, _, _, kept) in brute_near(list(zip(exact.doc_id, exact.text)), 5, 80) if kept}
     assert set(near.doc_id) == want and len(near) == len(want)
     assert mixed.groupby("doc_id").size().max() <= 2 and set(mixed.doc_id) <= set(near.doc_id)
     assert set(mixed.merge(near, on="doc_id", suffixes=("", "_n")).pipe(lambda x: x.text == x.text_n)) == {True}
@@ -452,11 +342,3 @@ def test_pipeline_rows_stay_apart(spark, tmp_path):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, "")
         assert empty.count() == 0
-
-
-def test_queries_run(spark):
-    from refaudit.llm.queries import QUERIES
-
-    shapes = {n: QUERIES[n](spark, SF).columns for n in ("op2_sharding", "op4_url_filter", "op5_token_counts")}
-    assert shapes["op2_sharding"] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    assert zlib.crc32(b"") == 0  # a null text's

@@ -17,6 +17,8 @@ from refaudit.llm.ngram_lm import DELETED, KEPT, TEST, learn_weights, score_text
 from refaudit.llm.packing import pack, sum_of_squares
 from refaudit.llm.tokens import count_tokens, encoder
 
+from .brute import brute_bayes
+
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 _LIB = Tokenizer.from_file(PATH)
 
@@ -109,37 +111,12 @@ def test_number_signs_are_no_letters(spark):
     assert [got[t] == "und" for t in texts] == [True, True, True, True, False, False, False, False]
 
 
-def _brute_bayes(labelled, texts, bits=15, smoothing=0.5):
-    """Multinomial naive Bayes n-gram by n-gram, in plain Python but for the hash."""
-    from refaudit.llm.langid import hashed
-
-    def grams(text):
-        t = "".join(c if ord(c) > 127 or "a" <= c <= "z" else " " for c in f" {text.lower()} ")
-        while "  " in t:
-            t = t.replace("  ", " ")
-        return [(n, int(hashed(np.asarray([ord(c) for c in t[i : i + n]], np.uint32), n, bits)[0])) for n in (1, 2, 3) for i in range(len(t) - n + 1)]
-
-    counts, rows = {}, Counter()
-    for text, lang in labelled:
-        counts.setdefault(lang, Counter()).update(b for _, b in grams(text))
-        rows[lang] += 1
-    out = []
-    for text in texts:
-        logs = {}
-        for lang, c in counts.items():
-            total = sum(c.values()) + smoothing * 2**bits
-            logs[lang] = math.log(rows[lang] / sum(rows.values())) + sum(math.log((c[b] + smoothing) / total) for _, b in grams(text))
-        top = max(sorted(logs), key=logs.get)
-        out.append((top, 1 / sum(math.exp(x - logs[top]) for x in logs.values())))
-    return out
-
-
 def test_language_against_brute_force(spark):
     labelled = [("the cat sat on the mat", "en"), ("a dog and the bird", "en"), ("der hund und die katze", "de"), ("ein Vogel über dem Haus", "de"), ("le chat et l'oiseau", "fr")]
     texts = ["the dog", "die Katze über uns", "l'oiseau, le chat!", "x" * 50 + " und " * 30, "Ünd 12 the", "ΑΣ ΣΑΣ"]
     train_on = spark.createDataFrame([(i, *r) for i, r in enumerate(labelled)], "doc_id int, text string, lang string")
     model = train(train_on)
-    want = _brute_bayes(labelled, texts)
+    want = brute_bayes(labelled, texts)
     for window in (1 << 18, 16, 3):
         langs, best = score(model, texts, window)
         assert langs == [w[0] for w in want] and best == pytest.approx([w[1] for w in want])
