@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from . import patterns as P
 from .text import blank_to_null, normalize_text, present, strip_marker, trimmed, without
 
+#: Between the groups of one match, where no text has it.
+_BETWEEN = "\x01\x02\x01"
 FIELDS = ["authors", "date", "title", "venue", "volume", "issue", "pages"]
 
 
@@ -78,6 +80,11 @@ def _no_in(c: Column) -> Column:
     return trimmed(without(c, P.LEADING_IN))
 
 
+def _groups(c: Column, pattern: str, n: int) -> Column:
+    """The n groups of a pattern that starts at ^, from one match; an array of one where it doesn't match."""
+    return F.split(F.regexp_replace(c, pattern + r"[\s\S]*\z", _BETWEEN.join(f"${i}" for i in range(1, n + 1))), _BETWEEN, -1)
+
+
 def with_metadata(df: DataFrame, reference: str = "reference", out: str = "extracted") -> DataFrame:
     """df with the struct `out` of authors, date, title, venue, volume, issue and pages; '' is missing."""
     c = F.col
@@ -108,9 +115,10 @@ def with_metadata(df: DataFrame, reference: str = "reference", out: str = "extra
     plain_authors = F.when(c("_before").rlike(P.INITIAL_AT_END), c("_before")).otherwise(without(c("_before"), r"\.+\z"))
     quoted_authors = without(F.substring(c("_source"), F.lit(1), c("_at") - 1), P.TAIL)
     df = df.withColumn("_authors", F.substring(F.when(c("_at") > 0, quoted_authors).otherwise(plain_authors), 1, 240))
-    # Publication after a quoted title.
+    # Publication after a quoted title; null without one, so that none of these patterns runs.
+    is_quoted = c("_at") > 0
     tail = normalize_text(without(_after(c("_source"), c("_at"), F.char_length("_whole")), rf"^[,{P.SPACE_CLASS}]+"))
-    df = df.withColumn("_details", without(tail, rf"[.;{P.SPACE_CLASS}]+\z"))
+    df = df.withColumn("_details", F.when(is_quoted, without(tail, rf"[.;{P.SPACE_CLASS}]+\z")))
     df = df.withColumn("_last_year", F.regexp_extract("_details", P.LAST_YEAR, 1))
     venue = without(without(c("_details"), P.FROM_VOLUME), P.FROM_PAGES)
     own_year = F.concat(F.lit(f",?{P.S}*"), c("_last_year"), F.lit(rf"[.;{P.SPACE_CLASS}]*\z"))
@@ -128,19 +136,28 @@ def with_metadata(df: DataFrame, reference: str = "reference", out: str = "extra
     # Publication after a plain title.
     at = F.when(c("_title") != "", F.instr(F.lower(c("_clean")), F.lower(c("_title")))).otherwise(0)
     after = F.when(at > 0, _after(c("_clean"), at, F.char_length("_title"))).otherwise(c("_clean"))
-    df = df.withColumn("_after", trimmed(without(after, rf"^[.,{P.SPACE_CLASS}]+")))
-    part = lambda p, i: trimmed(F.regexp_extract("_after", p, i))
-    has = lambda p: F.regexp_extract("_after", p, 1) != ""
+    df = df.withColumn("_after", F.when(~is_quoted, trimmed(without(after, rf"^[.,{P.SPACE_CLASS}]+"))))
     form = lambda v, vol, iss, pg: F.struct(v.alias("venue"), vol.alias("volume"), iss.alias("issue"), pg.alias("pages"))
+    # Each form in a layer of its own, which takes all groups in one match and runs only where those before found nothing.
+    found = None
+    for name, pattern, n in (("_j1", P.JOURNAL_WITH_ISSUE, 4), ("_j2", P.JOURNAL, 3), ("_j3", P.ARTICLE, 5)):
+        groups = _groups(c("_after"), pattern, n)
+        df = df.withColumn(name, groups if found is None else F.when(~found, groups))
+        found = F.coalesce(F.size(name) > 1, F.lit(False)) if found is None else found | F.coalesce(F.size(name) > 1, F.lit(False))
+    for name, pattern in (("_j4", P.PROCEEDINGS), ("_j5", P.VENUE_START)):
+        df = df.withColumn(name, F.when(~found, F.regexp_extract("_after", pattern, 1)))
+        found = found | F.coalesce(c(name) != "", F.lit(False))
     by_word = F.get(F.filter(_segments(c("_after")), lambda x: x.rlike(P.VENUE_WORD)), F.lit(0))
+    part = lambda name, i: trimmed(F.get(name, F.lit(i)))
+    hit = lambda name: F.size(name) > 1
     plain = (
-        F.when(has(P.JOURNAL_WITH_ISSUE), form(_no_in(part(P.JOURNAL_WITH_ISSUE, 1)), part(P.JOURNAL_WITH_ISSUE, 2), part(P.JOURNAL_WITH_ISSUE, 3), part(P.JOURNAL_WITH_ISSUE, 4)))
-        .when(has(P.JOURNAL), form(_no_in(part(P.JOURNAL, 1)), part(P.JOURNAL, 2), none, part(P.JOURNAL, 3)))
-        .when(has(P.ARTICLE), form(_no_in(part(P.ARTICLE, 1)), part(P.ARTICLE, 2), part(P.ARTICLE, 3), F.concat(part(P.ARTICLE, 4), F.lit(", "), part(P.ARTICLE, 5))))
-        .when(has(P.PROCEEDINGS), form(_no_in(part(P.PROCEEDINGS, 1)), none, none, last_page_range(c("_after"))))
-        .when(has(P.VENUE_START), form(_no_in(part(P.VENUE_START, 1)), none, none, last_page_range(c("_after"))))
+        F.when(hit("_j1"), form(_no_in(part("_j1", 0)), part("_j1", 1), part("_j1", 2), part("_j1", 3)))
+        .when(hit("_j2"), form(_no_in(part("_j2", 0)), part("_j2", 1), none, part("_j2", 2)))
+        .when(hit("_j3"), form(_no_in(part("_j3", 0)), part("_j3", 1), part("_j3", 2), F.concat(part("_j3", 3), F.lit(", "), part("_j3", 4))))
+        .when(c("_j4") != "", form(_no_in(trimmed(c("_j4"))), none, none, last_page_range(c("_after"))))
+        .when(c("_j5") != "", form(_no_in(trimmed(c("_j5"))), none, none, last_page_range(c("_after"))))
         .otherwise(form(F.coalesce(F.substring(by_word, 1, 240), none), none, none, last_page_range(c("_after"))))
     )
-    df = df.withColumn("_pub", F.when(c("_at") > 0, quoted).otherwise(plain))
+    df = df.withColumn("_pub", F.when(is_quoted, quoted).otherwise(plain))
     made = F.struct(c("_authors").alias("authors"), F.coalesce(c("_year").cast("string"), none).alias("date"), c("_title").alias("title"), *[c(f"_pub.{x}").alias(x) for x in ("venue", "volume", "issue", "pages")])
-    return df.withColumn(out, made).drop("_strip", "_clean", "_year", "_quote", "_bare", "_source", "_clean_year", "_at", "_whole", "_bare_year", "_rest", "_title", "_before", "_authors", "_details", "_last_year", "_qvenue", "_after", "_pub")
+    return df.withColumn(out, made).drop("_strip", "_clean", "_year", "_quote", "_bare", "_source", "_clean_year", "_at", "_whole", "_bare_year", "_rest", "_title", "_before", "_authors", "_details", "_last_year", "_qvenue", "_after", "_pub", "_j1", "_j2", "_j3", "_j4", "_j5")
