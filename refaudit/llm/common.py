@@ -97,6 +97,22 @@ def spread(n_rows: int, low: int = 1) -> int:
     return max(low, int(max(n_rows, 1) ** 0.5))
 
 
+def in_order(df: DataFrame, order: list[Column], sums: dict[str, Column], rows: int, part_rows: int = 100_000) -> DataFrame:
+    """Adds for each of `sums` its total over the rows before, in a global order: range partitions, the sums within each, and
+    the sums of those before from one row a partition. The order should leave no ties."""
+    names = [f"_o{i}" for i in range(len(order))]
+    kept = df.columns
+    df = df.withColumns({n: c for n, c in zip(names, order, strict=True)} | {f"_v_{k}": c for k, c in sums.items()})
+    df = written(df.repartitionByRange(max(1, -(-rows // part_rows)), *names).withColumn("_part", F.spark_partition_id()))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    parts = df.groupBy("_part").agg(*[F.sum(f"_v_{k}").alias(f"_p_{k}") for k in sums])
+    parts = parts.select(F.col("_part").alias("_at"), *[zero(F.sum(f"_p_{k}").over(before(Window.orderBy("_part")))).alias(f"_p_{k}") for k in sums])
+    own = before(Window.partitionBy("_part").orderBy(*names))
+    df = df.withColumns({f"_v_{k}": zero(F.sum(f"_v_{k}").over(own)) for k in sums})
+    return df.join(parts, F.col("_part") == F.col("_at")).select(*kept, *[(F.col(f"_v_{k}") + F.col(f"_p_{k}")).alias(k) for k in sums])
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, cells: int, cell_hash: str, first: Column | None = None) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the same keys that come before, without ever gathering a key.
 
