@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.lookup import Config, doi_url, fetch_json, search_url
 from ..sources.works import CANDIDATE, normalize_works, usable
 from .audit import decided
-from .match import ranked, scored, with_keys
+from .match import explained, ranked, scored, with_keys
 
 BAD_JSON = "Remote answer is not JSON"
 
@@ -37,4 +37,4 @@ def audit_remote(refs: DataFrame, key: list[str], get: Callable[[str], tuple[int
     found = usable(normalize_works(items)).select(*key, "_i", F.struct(*CANDIDATE).alias("cand"))
     # A reference whose search found nothing usable, or failed, keeps a row without a candidate.
     pairs = keyed.join(got.select(*key, "error", "error_status"), key).join(found, key, "left").withColumn("ord", F.coalesce("_i", F.lit(0)) + 1).drop("_i")
-    return decided(ranked(scored(pairs), key).where("rank = 1"), key)
+    return decided(explained(ranked(scored(pairs, explain=False), key).where("rank = 1")), key)

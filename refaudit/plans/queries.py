@@ -281,7 +281,7 @@ def scr01_evidence(spark, d):
 
 def ranked_without_doi(spark, d):
     keyed = J.with_keys(C.references(spark, d)).where("ref_doi is null")
-    return J.ranked(J.scored(keyed.join(J.candidates(keyed.select(*KEY, "ref_tokens"), _works(spark, d), KEY), KEY)), KEY)
+    return J.ranked(J.scored(keyed.join(J.candidates(keyed.select(*KEY, "ref_tokens"), _works(spark, d), KEY), KEY), explain=False), KEY)
 
 
 def win07_rank(spark, d):

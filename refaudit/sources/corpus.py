@@ -29,8 +29,10 @@ def _word(c: Column) -> Column:
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n (the order), then the candidate fields."""
+    # The table is small in bytes, so it is read in few tasks; what is done with each row is not.
+    orders = _table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     first = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey")).alias("_l"))
-    o = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(first, F.col("o_orderkey") == F.col("l_orderkey"))
+    o = orders.join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(first, F.col("o_orderkey") == F.col("l_orderkey"))
     o = o.join(_table(spark, sf_dir, "part"), F.col("_l.l_partkey") == F.col("p_partkey"))
     n = F.col("o_orderkey")
     family = F.concat(F.lit("Q"), _word(F.col("c_custkey")))
