@@ -12,7 +12,7 @@ from refaudit.llm.common import running
 from refaudit.llm.exact_dedup import exact_groups
 from refaudit.llm.mixing import mix, schedule, taken_words, targets
 from refaudit.llm.near_dedup import collisions, estimate, near_groups, registers
-from refaudit.llm.sharding import propagate, shard
+from refaudit.llm.sharding import propagate, shard, shard_linked
 from refaudit.llm.shingles import WordHashes, shingle_set
 from refaudit.llm.topk import top_k
 from refaudit.llm.url_filter import judge, templates
@@ -105,6 +105,29 @@ def test_parts_move_together_until_none_can(spark):
     assert sorted((r["_key"], r.shard, r.n) for r in got) == [(k, k, 3) for k in range(7)]
 
 
+def test_shards_of_any_links(spark):
+    """Twelve planted clusters and a few links between them, all documents linked, so that only swaps are possible at first."""
+    r = random.Random(12)
+    links = [(30 * c + r.randrange(30), 30 * c + r.randrange(30)) for c in range(12) for _ in range(220)] + [(r.randrange(360), r.randrange(360)) for _ in range(30)]
+    links += [(b, a) for a, b in links[:50]] + [(1, None), (5, 9999)]
+    docs = spark.createDataFrame([(i, "x") for i in range(360)] + [(0, "again"), (None, "n"), (None, "n")], "doc_id long, shard string").withColumn("_h", F.lit(3))
+    out, first, cut = shard_linked(docs, spark.createDataFrame(links, "a long, b long"), shards=6)
+    rows = out.collect()
+    sizes = Counter(x.shard for x in rows)
+    assert len(rows) == 363 and set(sizes) == set(range(6)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for own in _grouped(rows, "shard").values():
+        assert sorted(x.slot for x in own) == list(range(len(own)))
+    once = {(min(x), max(x)) for x in links if None not in x and x[0] != x[1] and 9999 not in x}
+    places = defaultdict(set)
+    for x in rows:
+        places[x.doc_id].add(x.shard)
+    assert len(once) * 0.75 < first <= len(once) and cut < first / 2
+    certain = [x for x in once if 0 not in x]
+    assert abs(sum(places[a] != places[b] for a, b in certain) - cut) <= len(once) - len(certain)
+    empty, a, b = shard_linked(docs.limit(0), spark.createDataFrame([], "a long, b long"))
+    assert (empty.count(), a, b) == (0, 0, 0)
+
+
 def test_shards_odd(odd):
     got = shard(odd.select("doc_id", "text", "size"), ["text"], shards=40).collect()
     assert len(got) == odd.count() and max(Counter(r.shard for r in got).values()) == 1
