@@ -54,3 +54,11 @@ def parts(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     place = ["doc_id", "page_no", "page_width", "page_height"]
     of = lambda kind, no: rows.where(F.col("kind") == kind).select(*place, F.col("no").alias(no), "x0", "y0", "x1", "y1", "text")
     return rows.where("kind = 'page'").select("doc_id", "page_no", F.col("text").alias("plain")), of("block", "block_no"), of("line", "line_no")
+
+
+def texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tier, text of every file that could be read; doc_id, error of the others) from layout rows. They are read
+    several times: write them first, since parsing is the dear step."""
+    from ..operators.layout import document_texts
+
+    return document_texts(*parts(rows)), rows.where("kind = 'error'").select("doc_id", "error")
