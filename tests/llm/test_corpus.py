@@ -3,12 +3,13 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from refaudit.llm.common import running
+from refaudit.llm.common import in_order, maybe_in, running, spread_join, temporary, written
 from refaudit.llm.exact_dedup import exact_groups
 from refaudit.llm.mixing import mix, schedule, taken_words, targets
 from refaudit.llm.near_dedup import collisions, estimate, near_groups, registers
@@ -31,6 +32,48 @@ def test_running_sums(spark):
             at += r.v
 
 
+def test_hot_keys_meet_their_row(spark):
+    rows = [("h", i) for i in range(3000)] + [(f"k{i % 90}", i) for i in range(400)] + [(None, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "k string, i int")
+    one = df.where("k <> 'k7'").groupBy("k").agg(F.count("*").alias("_count"), F.max("i").alias("m"))
+    want = Counter((r.k, r.i, r["_count"], r.m) for r in df.join(one, "k", "left").collect())
+    for how in ("left", "inner"):
+        got = spread_join(df, one, ["k"], "i", 3402, how)
+        assert Counter((r.k, r.i, r["_count"], r.m) for r in got.collect()) == Counter({x: n for x, n in want.items() if how == "left" or x[2]})
+    # The hot key's rows and its row, copied, lie in many partitions.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    cells = spread_join(df, one, ["k"], "i", 3402, hint="merge").where("k = 'h'").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(cells) == 4 and max(r["count"] for r in cells) < 1500
+
+
+def test_maybe_in_drops_no_wanted_row(spark):
+    df = spark.range(5000).select("id", F.xxhash64("id").alias("h"))
+    for bits, most in ((24, 130), (15, 200)):
+        kept = {r.id for r in maybe_in(df, F.col("h"), df.where("id % 50 = 0").select(F.col("h").alias("_h")), bits).where("_maybe").collect()}
+        assert set(range(0, 5000, 50)) <= kept and len(kept) <= most
+    assert maybe_in(df, F.col("h"), df.limit(0).select(F.col("h").alias("_h"))).where("_maybe").count() == 0
+
+
+def test_sums_in_global_order(spark):
+    rng = random.Random(1)
+    values = [(x, rng.randrange(9)) for x in rng.sample(range(10**6), 700)]
+    df = spark.createDataFrame(values, "x int, v int")
+    got = {r.x: (r.before, r.place) for r in in_order(df, [F.col("x")], {"before": F.col("v"), "place": F.lit(1)}, 700, part_rows=60).collect()}
+    at = 0
+    for k, (x, v) in enumerate(sorted(values)):
+        assert got[x] == (at, k)
+        at += v
+
+
+def test_intermediate_tables_are_deleted(spark):
+    with temporary():
+        gone, kept = written(spark.range(3)), written(spark.range(4), outlive=True)
+        paths = [Path(df.inputFiles()[0].removeprefix("file:")) for df in (gone, kept)]
+        assert all(p.exists() for p in paths)
+    assert [p.exists() for p in paths] == [False, True] and kept.count() == 4
+
+
 def _grouped(rows, key):
     out = defaultdict(list)
     for r in rows:
