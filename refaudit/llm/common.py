@@ -42,8 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, outlive: bool = False) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, read back. Lost executors cost only their tasks.
 
-    The table stays as long as a result may still read it: until the surrounding `temporary` block ends, without one (or if
-    it is to outlive it) until `release` or exit.
+    The table stays as long as a result may still read it: until the surrounding `temporary` block ends (one that is to
+    outlive it: until the block around that ends), without one until `release` or exit.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/refaudit-{uuid.uuid4().hex}"
@@ -62,13 +62,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def temporary() -> Iterator[None]:
-    """Deletes the tables written inside the block when it ends, but for those that are to outlive it."""
+    """Deletes the tables written inside the block when it ends, but for those that are to outlive it. Operators use it for what
+    their result doesn't read."""
     mark = len(_tables)
     try:
         yield
     finally:
         inside = _tables[mark:]
-        _tables[mark:] = [t for t in inside if t[2]]
+        _tables[mark:] = [(spark, path, False) for spark, path, outlive in inside if outlive]
         for spark, path, outlive in inside:
             if not outlive:
                 _delete(spark, path)
@@ -92,9 +93,10 @@ def each(column, step: int = 256):
         yield from column.slice(at, step).to_pylist()
 
 
-def spread(n_rows: int, low: int = 1) -> int:
-    """Number of cells that n_rows are dealt to: the square root, so that both a cell and the table of cells stay small."""
-    return max(low, int(max(n_rows, 1) ** 0.5))
+def spread(n_rows: int, low: int = 1, times: int = 1) -> int:
+    """Number of cells that n_rows are dealt to: the square root, so that both a cell and the table of cells stay small, or
+    some times that where rows have no key besides and each task should have several cells."""
+    return max(low, int(times * max(n_rows, 1) ** 0.5))
 
 
 def in_order(df: DataFrame, order: list[Column], sums: dict[str, Column], rows: int, part_rows: int = 100_000) -> DataFrame:
