@@ -8,10 +8,11 @@ ids stay apart; any other column may be null; columns other than those of docume
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refaudit.llm.common import temporary, written
+from refaudit.llm.common import maybe_in, temporary, written
 from refaudit.llm.exact_dedup import exact_groups
 from refaudit.llm.langid import UNKNOWN, identify, train
 from refaudit.llm.mixing import mix
@@ -30,30 +31,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with _row, a number of its own for each row, and _id: doc_id and that number, which orders like doc_id.
+    """docs with _row, which names each row, and _id: doc_id and that name, which orders like doc_id.
 
-    The numbered table is written, since numbers given in a scan depend on how it is split, which may change from one to the next.
+    A row of files is named by its file and its place there, which no other scan changes. Numbers given in a scan depend on how
+    it is split, so rows that don't come straight from files are written with theirs.
     """
-    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row"))).withColumn("_id", F.struct("doc_id", "_row"))
+    try:
+        rows = docs.select(*COLUMNS, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("_row"))
+    except AnalysisException:
+        rows = written(docs.select(*COLUMNS, F.struct(F.monotonically_increasing_id().alias("at")).alias("_row")))
+    return rows.withColumn("_id", F.struct("doc_id", "_row"))
 
 
-def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs whose _row is in keep."""
-    return docs.join(keep.select(F.col("doc_id._row").alias("_row")), "_row", "left_semi").select(*COLUMNS)
+def _without(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs that groups (doc_id: their _id, kept) keep. Few are dropped, so a bit map tells most rows that they stay
+    without a shuffle of their texts."""
+    out = written(groups.where("not kept").select(F.col("doc_id._row").alias("_row")))
+    marked = maybe_in(docs, F.xxhash64("_row"), out.select(F.xxhash64("_row").alias("_h")))
+    return marked.where("not _maybe").select(*COLUMNS).union(marked.where("_maybe").join(out, "_row", "left_anti").select(*COLUMNS))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts (but for white space) stays: the one with most characters, then smallest id (a null
     one comes first), then any of equal rows. Null counts as the empty text."""
     rows = _numbered(docs)
-    return _kept(rows, exact_groups(rows, id_col="_id").where("kept"))
+    return _without(rows, exact_groups(rows, id_col="_id"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, that of the smallest id (five-word shingles, similarity 0.8 or more). Rows
     without words are in no group and stay."""
     rows = _numbered(docs)
-    return _kept(rows, near_groups(rows, n=5, percent=80, id_col="_id").where("kept"))
+    return _without(rows, near_groups(rows, n=5, percent=80, id_col="_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
