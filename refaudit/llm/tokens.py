@@ -141,12 +141,13 @@ def encoder(path: str) -> Encoder:
         core = tiktoken.Encoding("own", pat_str=BYTE_BPE_SPLIT, mergeable_ranks=ranks, special_tokens=special)
         names = tuple(special)
 
-        def run(texts: list[str]) -> list[list[int]]:
-            if any(x in t for t in texts for x in names):  # the library's default: such strings become their special token
-                return core.encode_batch(texts, num_threads=1, allowed_special="all")
-            return core.encode_ordinary_batch(texts, num_threads=1)
+        def run(text: str) -> list[int]:
+            if any(x in text for x in names):  # the library's default: such strings become their special token
+                return core.encode(text, allowed_special="all")
+            return core.encode_ordinary(text)
 
-        return Encoder(lambda t: np.asarray(run([t])[0], np.uint32), lambda ts: list(map(len, run(ts))), True, names)
+        # Not encode_ordinary_batch: it hands each text to a thread, which costs more than a short text does.
+        return Encoder(lambda t: np.asarray(run(t), np.uint32), lambda ts: [len(run(t)) for t in ts], True, names)
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(path)
