@@ -179,7 +179,7 @@ SQL = {
           CASE WHEN e IS NOT NULL THEN 1::BIGINT WHEN d IS NOT NULL THEN 9 WHEN ref_no % 3 > 0 THEN 9 ELSE 0 END AS n_evidence FROM s""",
     "src14_is_pdf": "SELECT page_id, page_id % 5 = 0 OR page_id % 3 = 0 OR lower(split_part(url, '?', 1)) LIKE '%.pdf' AS is_pdf FROM pages",
     "src15_events": WITH + f""", t AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS total FROM refs GROUP BY doc_id)
-        SELECT doc_id, e AS event, NULL::INTEGER AS index, total, NULL AS confidence, NULL AS doi, NULL AS error FROM t, (VALUES ('references-found'), ('complete')) v(e)
+        SELECT doc_id, e AS event, NULL::INTEGER AS index, total, NULL::VARCHAR AS confidence, NULL::VARCHAR AS doi, NULL::VARCHAR AS error FROM t, (VALUES ('references-found'), ('complete')) v(e)
         UNION ALL SELECT doc_id, 'checking-reference', ref_no, total, NULL, NULL, NULL FROM refs JOIN t USING (doc_id)
         UNION ALL SELECT doc_id, 'checked-reference', ref_no, total, {_LEVEL}, {_ACM}, NULL FROM refs JOIN t USING (doc_id)""",
     "str05_windows": WITH + f" SELECT (1700000000 + doc_id * 20 + ref_no) // 60 * 60 AS started, {_LEVEL} AS confidence, count(*) AS n FROM refs GROUP BY ALL",
