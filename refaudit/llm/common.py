@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import _tables, release, shared_dir, temporary, written  # noqa: F401  the operators' way to them
+
 #: What separates words in every contract here: space and the five ASCII controls from tab to carriage return.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,70 +15,6 @@ SPLIT, LEAST_HOT = 1 << 10, 1 << 8
 #: Hot keys are dealt to this many cells.
 SALTS = 64
 
-#: Tables written, and whether they outlive a `temporary` block.
-_tables: list[tuple[SparkSession, str, bool]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; on a cluster that is
-    an error, as a folder of one machine would lose rows."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="refaudit-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, outlive: bool = False) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read back. Lost executors cost only their tasks.
-
-    The table stays as long as a result may still read it: until the surrounding `temporary` block ends (one that is to
-    outlive it: until the block around that ends), without one until `release` or exit.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/refaudit-{uuid.uuid4().hex}"
-    _tables.append((spark, path, outlive))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-    except Exception:  # noqa: BLE001  at exit the session may be gone; the folder is the caller's to empty then
-        pass
-
-
-@contextmanager
-def temporary() -> Iterator[None]:
-    """Deletes the tables written inside the block when it ends, but for those that are to outlive it. Operators use it for what
-    their result doesn't read."""
-    mark = len(_tables)
-    try:
-        yield
-    finally:
-        inside = _tables[mark:]
-        _tables[mark:] = [(spark, path, False) for spark, path, outlive in inside if outlive]
-        for spark, path, outlive in inside:
-            if not outlive:
-                _delete(spark, path)
-
-
-@atexit.register
-def release() -> None:
-    """Deletes all tables written so far; results that still read them are void."""
-    while _tables:
-        _delete(*_tables.pop()[:2])
-
-
 def words(text: Column) -> Column:
     """Number of words; null counts as no text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -195,3 +195,27 @@ def test_candidates_against_brute_force(spark):
     for sizes in ({}, {"block": 100, "chunk": 40}):
         got = {(x.id, x.ord): x.doi for x in J.candidates(asked, twice, ["id"], **sizes).select("id", "ord", "cand.doi").collect()}
         assert got == want
+
+
+def test_candidates_of_long_works(spark):
+    """Works of more than 32 tokens, nearly all of them frequent, so that bounds are loose and ties many."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(90)]
+    works = [cand(doi=f"10.1/{i}", title=" ".join(r.sample(words, r.choice([3, 40, 41, 60]))), authors="A. Ink", year=2019) for i in range(900)]
+    refs = [(i, " ".join(r.sample(words, r.randint(1, 70)))) for i in range(60)] + [(100, "Ink"), (101, "a ink 2019"), (102, "w1 w1 unheard")]
+    asked = spark.createDataFrame(refs, "id int, reference string").withColumn("ref_tokens", T.token_set(F.col("reference")))
+    want = _by_brute_force(refs, works, 8)
+    for sizes in ({}, {"block": 300, "chunk": 20}):
+        got = {(x.id, x.ord): x.doi for x in J.candidates(asked, spark.createDataFrame(works, WORK), ["id"], **sizes).select("id", "ord", "cand.doi").collect()}
+        assert got == want
+
+
+def test_works_are_sent_in_a_fifth_of_the_bytes(spark):
+    """What candidates sends many times goes as pieces that hold all rows."""
+    import pyarrow as pa
+
+    df = spark.range(0, 4000, 1, 2).select("id", F.concat(F.lit("large red ring study of journal rings 2019 q"), "id").alias("_tokens"))
+    pieces = J._packed(df, 900).collect()
+    back = [x for p in pieces for x in pa.ipc.open_stream(p["_blob"]).read_all().to_pylist()]
+    assert sorted(x["id"] for x in back) == list(range(4000)) and all(x["_tokens"].endswith(f"q{x['id']}") for x in back)
+    assert max(p["_rows"] for p in pieces) <= 900 and 5 * sum(len(p["_blob"]) for p in pieces) < sum(len(x["_tokens"]) + 16 for x in back)
