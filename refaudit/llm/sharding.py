@@ -1,8 +1,9 @@
 """Sharding by balanced label propagation.
 
-`shard` takes links as keys: documents that share one are linked. Keys start whole where they fit, the largest first. Then each round every linked document would move to the shard that holds most of its
-neighbours; a shard admits movers only up to its quota, those that gain most first, so that sizes stay even. Documents
-without a neighbour then fill what room is left. The state is kept as counts per (link key, shard), since linked documents
+`shard` takes links as keys: documents that share one are linked. Documents start evenly dealt. Then each round every linked
+document would move to the shard that holds most of its neighbours; a shard admits movers only up to its quota, those that gain
+most first, so that sizes stay even. Keys that are still cut when few moves or none are admitted, for want of room, are placed
+anew in the room that the others leave, and propagation goes on from there. Documents without a neighbour then fill what is left. The state is kept as counts per (link key, shard), since linked documents
 of one key and shard are interchangeable: a key's neighbours are never listed in pairs.
 
 `shard_linked` takes any table of links. Documents start evenly dealt; each round those with more neighbours in another shard
@@ -55,15 +56,30 @@ def _plan(kinds: list[tuple[int, int]], room: list[int]) -> list[tuple[int, int,
     return plan
 
 
-def _first_labels(sizes: DataFrame, quota: DataFrame) -> DataFrame:
-    """Counts (_key, shard, n) of the keys `sizes` (_k, _c), placed whole under quota as far as they fit. The driver sees the
-    number of keys of each size: sizes that differ are few, at most the square root of twice the rows."""
-    kinds = [(r[0], r[1]) for r in sizes.groupBy("_c").agg(F.count("*")).collect()]
-    plan = _plan(kinds, [r[1] for r in sorted(quota.select("shard", "room").collect())])
-    rows = sizes.sparkSession.createDataFrame(plan, "_size long, _from long, _to long, shard int, n long")
-    one = sizes.select(F.col("_k").alias("_key"), F.col("_c").alias("_all"), F.lit(1).alias("_one"), F.xxhash64("_k").alias("_h"))
-    one = running(one, ["_all"], ["_h", "_key"], "_one", "_place", spread(sum(n for _, n in kinds)), "_h")
-    return one.join(F.broadcast(rows), (F.col("_all") == F.col("_size")) & (F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_to"))).select("_key", "shard", "n")
+def _dealt(linked: DataFrame, shards: int, cells: int) -> DataFrame:
+    """Counts (_key, shard, n) of the linked rows (_row, _h, _key), dealt evenly by hash: no shard gets more than its quota."""
+    rows = running(linked.withColumn("_one", F.lit(1)), [], ["_h", "_row"], "_one", "_place", cells, "_h")
+    return rows.groupBy("_key", F.pmod("_place", F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
+
+
+def _mended(counts: DataFrame, quota: DataFrame) -> DataFrame:
+    """counts (_key, shard, n) with the keys that are still cut placed anew in what room the others leave, whole as far as they
+    fit, if that cuts fewer links. The driver sees the number of such keys of each size: sizes that differ are few, at most the
+    square root of twice the rows."""
+    own = counts.groupBy("_key").agg(F.count("*").alias("_parts"), F.sum("n").cast("long").alias("_all"), F.sum(F.col("n") * F.col("n")).alias("_kept"))
+    cut = written(own.where("_parts > 1"))
+    kinds = [tuple(r) for r in cut.groupBy("_all").agg(F.count("*"), F.sum("_kept")).collect()]
+    if not kinds:
+        return counts
+    whole = counts.join(cut.select("_key"), "_key", "left_anti").select("_key", "shard", "n")
+    plan = _plan([(size, keys) for size, keys, _ in kinds], _rooms(whole, "n", quota)[0])
+    if sum((end - at) * n * n for _, at, end, _, n in plan) <= sum(kept for _, _, kept in kinds):
+        return counts
+    rows = counts.sparkSession.createDataFrame(plan, "_size long, _from long, _to long, shard int, n long")
+    one = cut.select("_key", "_all", F.lit(1).alias("_one"), F.xxhash64("_key").alias("_h"))
+    one = running(one, ["_all"], ["_h", "_key"], "_one", "_place", spread(sum(keys for _, keys, _ in kinds)), "_h")
+    placed = one.join(F.broadcast(rows), (F.col("_all") == F.col("_size")) & (F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_to")))
+    return written(whole.union(placed.select("_key", "shard", "n")))
 
 
 def _octaves(c: str):
@@ -71,9 +87,9 @@ def _octaves(c: str):
     return F.lit(63) - F.floor(F.log2(F.col(c).cast("double") + 1)).cast("int")
 
 
-def propagate(counts: DataFrame, quota: DataFrame, rounds: int | None = None, cells: int = 64) -> DataFrame:
-    """Moves counts (_key, shard, n) towards each key's fullest shard under quota (shard, room), until no move is admitted (at
-    most `rounds` times, if given). It ends: a move makes a key's larger part larger, so the sum of squares of n grows.
+def propagate(counts: DataFrame, quota: DataFrame, rounds: int | None = None, cells: int = 64, least: int = 1) -> DataFrame:
+    """Moves counts (_key, shard, n) towards each key's fullest shard under quota (shard, room), until no move is admitted,
+    or moves of fewer than `least` rows in a round (at most `rounds` times, if given). It ends: a move makes a key's larger part larger, so the sum of squares of n grows.
 
     In a round, a key's shards are taken by how much of it they hold (ties: one with room first, then by hash). As many of
     them as it takes to hold all of the key are its targets, for nearly all keys one; its documents elsewhere ask to move to
@@ -99,10 +115,13 @@ def propagate(counts: DataFrame, quota: DataFrame, rounds: int | None = None, ce
         asks = asks.withColumn("_goal", goal).select("_key", "shard", F.col("_goal.shard").alias("_to"), "n", F.greatest(F.col("_goal.n") - F.col("n"), F.lit(0)).alias("_gain"), F.xxhash64("_key").alias("_h"))
         asks = running(asks, ["_to"], ["_h", "shard"], "n", "_before", cells, "_h", _octaves("_gain"))
         moved = written(asks.join(F.broadcast(room), "_to").withColumn("_m", F.greatest(F.lit(0), F.least("n", F.col("_room") - F.col("_before")))).where("_m > 0"))
-        if moved.isEmpty():
+        size = moved.agg(F.sum("_m")).first()[0] or 0
+        if not size:
             break
         both = moved.select("_key", "shard", (-F.col("_m")).alias("n")).union(moved.select("_key", F.col("_to").alias("shard"), F.col("_m").alias("n")))
         counts = written(counts.select("_key", "shard", "n").union(both).groupBy("_key", "shard").agg(F.sum("n").cast("long").alias("n")).where("n > 0"))
+        if size < least:
+            break
     return counts
 
 
@@ -111,9 +130,9 @@ def shard(docs: DataFrame, key_cols: list[str], shards: int = 40, rounds: int |
     of docs that are called so are replaced.
 
     Rows with equal values in all key_cols are linked (a null in one: not linked). Each shard's quota is the number of rows
-    over shards, rounded up for the first ones. Linked rows come first: keys are placed whole, the
-    largest first, and label propagation moves what had to be cut together as far as quotas allow, so a key is cut only when it
-    is larger than a shard or no shard has room left for it when its turn comes. Repeated rows
+    over shards, rounded up for the first ones. Linked rows come first: label propagation moves them
+    together from an even deal as far as quotas allow, and keys that lacked room for that are placed anew, the largest first, so
+    a key stays cut only when it is larger than a shard or no shard has room left for it when its turn comes. Repeated rows
     and null ids are rows like others; with fewer rows than shards some shards are empty. Texts aren't needed here: give
     docs with the columns to return.
     """
@@ -130,11 +149,15 @@ def shard(docs: DataFrame, key_cols: list[str], shards: int = 40, rounds: int |
         known = F.col(c).isNotNull() if known is None else known & F.col(c).isNotNull()
     key = F.xxhash64(*[F.col(c) for c in key_cols], F.lit("key"))
     keyed = base.where(known).withColumn("_key", key)
-    sizes = keyed.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("_key").alias("_k"), "_c")
-    linked = spread_join(keyed.select("_row", "_h", "_key"), sizes.select(F.col("_k").alias("_key"), F.col("_c").alias("_count")), ["_key"], "_row", total)
+    sizes = keyed.groupBy("_key").agg(F.count("*").alias("_count")).where("_count > 1")
+    linked = spread_join(keyed.select("_row", "_h", "_key"), sizes, ["_key"], "_row", total)
     linked = written(linked.select("_row", "_h", "_key"))
-    counts = written(_first_labels(written(sizes), quota))
-    counts = propagate(counts, quota, rounds, spread(total, 64))
+    counts = written(_dealt(linked, shards, spread(total, times=16)))
+    # Where nearly all rows are linked a round moves one or two of them; what is cut then is mended at once.
+    moved = propagate(counts, quota, rounds, spread(total, 64), linked.count() // 64)
+    counts = _mended(moved, quota)
+    if counts is not moved:
+        counts = propagate(counts, quota, rounds, spread(total, 64))
     # Deal each key's documents to its shards by their place within the key; free documents take what is left.
     within = running(linked.withColumn("_one", F.lit(1)), ["_key"], ["_h", "_row"], "_one", "_place", spread(total), "_h")
     spans = counts.withColumn("_end", F.sum("n").over(Window.partitionBy("_key").orderBy("shard"))).withColumn("_span", F.struct((F.col("_end") - F.col("n")).alias("from"), F.col("_end").alias("end"), "shard"))

@@ -130,6 +130,24 @@ def test_shards(spark):
     assert len({r.shard for r in groups["big"]}) <= 5  # at least three shards of 32 or 33
 
 
+def test_propagation_brings_the_linked_rows_together(spark, monkeypatch):
+    """Where there is room, it is label propagation that makes cut keys whole, not what comes before or after it."""
+    from refaudit.llm import sharding
+
+    met = []
+
+    def spy(counts, *rest):
+        after = propagate(counts, *rest)
+        met.extend(len({r["_key"] for r in x if sum(y["_key"] == r["_key"] for y in x) > 1}) for x in (counts.collect(), after.collect()))
+        return after
+
+    monkeypatch.setattr(sharding, "propagate", spy)
+    rows = [(i, f"pair{i // 2}") for i in range(60)] + [(1000 + i, f"six{i // 6}") for i in range(120)] + [(2000 + i, f"own{i}") for i in range(400)]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string"), ["text"], shards=10).collect()
+    assert met[0] > 40 and met[1] == 0
+    assert all(len({r.shard for r in own}) == 1 for own in _grouped(got, "text").values())
+
+
 def test_shards_without_free_rows(spark):
     """Nearly all rows linked: what fits whole is whole."""
     rows = [(i, f"pair{i // 2}") for i in range(800)] + [(1000 + i, f"five{i // 5}") for i in range(200)] + [(2000, "a")]
