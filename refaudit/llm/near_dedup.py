@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import swept
 from .common import connected, each, maybe_in, spread_join, temporary, written
 from .shingles import WordHashes, mix64, shingle_set
 
@@ -274,34 +275,46 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     documents with m of them pass for one at odds of about m * m / 2**64 (one in a million at four million shingles).
     Wherever rows meet a key of which they may be many (a class, bucket, hub or component), hot keys are dealt to cells.
 
+    What a step has shuffled is deleted before the next one, so the steps share the disk.
+
     Empty and null texts have no shingles, no link and component_id = doc_id. A null id is never the smallest unless all are
     null; repeated rows are of one class. Columns other than the id and the text aren't looked at.
     """
+    spark = docs.sparkSession
+    swept(spark)
     with temporary():
         rows = written(sketches(docs, n, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
         slim = written(rows.select("doc_id", "n_shingles", "digest", "_row"), outlive=True)
         total = rows.count()
         classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("_row").alias("_rep"), F.min("doc_id").alias("_low"), F.count("*").alias("_count"))
         classes = written(classes)
+        swept(spark)
         reps = written(rows.join(classes.select(F.col("_rep").alias("_row")), "_row").select("_row", "doc_id", "_t", "n_shingles", "regs"))
+        swept(spark)
         bands = _band_rows(reps)
         shared = bands.groupBy("_key").agg(F.count("*").alias("_count")).where("_count > 1")
         near = written(spread_join(bands, shared, ["_key"], "_row", BANDS * total).select("_key", "_row", "_count"))
         met = near.count()
+        swept(spark)
         mates = near.groupBy("_row").agg(F.sum("_count").alias("_mates"))
         hubs = near.join(mates, "_row").groupBy("_key").agg(F.max(F.struct("_mates", (-F.col("_row")).alias("r"))).alias("_h"), F.count("*").alias("_count"))
         hubs = hubs.select("_key", (-F.col("_h.r")).alias("_hub"), "_count")
         starred = written(spread_join(near.select("_key", "_row"), hubs, ["_key"], "_row", met).select("_key", "_row", "_hub"))
+        swept(spark)
         pairs = written(_estimated(written(starred.where("_row <> _hub").select("_hub", "_row").distinct()), reps, percent))
+        swept(spark)
         wanted = pairs.select("_row").union(pairs.select(F.col("_hub").alias("_row"))).distinct()
         sets = written(_sets(docs, reps.join(wanted, "_row").select("_row", "doc_id", "_t"), n, id_col, text_col))
+        swept(spark)
         links = written(_verified(pairs, sets, percent))
         comps = written(connected(links.select(F.col("_hub").alias("a"), F.col("_row").alias("b"))).withColumnsRenamed({"node": "_n", "root": "_comp"}))
+        swept(spark)
         # Buckets whose members other than the hub lie in different components hold pairs that weren't compared.
         other = written(starred.where("_row <> _hub").join(comps, F.col("_row") == F.col("_n"), "left").select("_key", "_row", F.coalesce("_comp", "_row").alias("_comp")))
         split = other.groupBy("_key").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y"), F.count("*").alias("_count")).where("_x <> _y").select("_key", "_count")
         rest = written(spread_join(other, split, ["_key"], "_row", met).join(reps.select("_row", "n_shingles", "regs"), "_row"))
         left = rest.count()
+        swept(spark)
         if left:
             # Registers are small, so eight times as many rows of them meet as of sets.
             hot = written(_promising(rest, percent, 8 * block, left))
@@ -313,6 +326,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
                 comps = written(connected(links.select(F.col("_hub").alias("a"), F.col("_row").alias("b"))).withColumnsRenamed({"node": "_n", "root": "_comp"}))
         # Smallest id of each component over all its classes, then back to every row.
         low = written(classes.join(comps, F.col("_rep") == F.col("_n"), "left").select("digest", "_low", "_count", F.coalesce("_comp", "_rep").alias("_comp")), outlive=True)
+    swept(spark)
     smallest = low.groupBy("_comp").agg(F.min("_low").alias("_id"), F.count("*").alias("_count"))
     by_class = spread_join(low.withColumnRenamed("_count", "_rows"), smallest, ["_comp"], "digest", total).select("digest", "_id", F.col("_rows").alias("_count"))
     out = spread_join(slim, by_class, ["digest"], "_row", total, "left")

@@ -174,3 +174,16 @@ def test_lm_odd_rows(odd):
     assert len(got) == odd.count() and all(r.score <= 0 and r.n_tokens >= 1 for r in got)
     assert {r.train_tokens for r in score_texts(odd, F.lit(TEST))[0].collect()} == {0}
     assert score_texts(odd.limit(0), F.lit(KEPT))[0].count() == 0
+
+
+def test_near_dedup_frees_shuffles_between_steps(spark, monkeypatch):
+    """Shuffle files of a step are given up before later steps write theirs, not when the driver's heap happens to fill."""
+    from refaudit.llm import near_dedup
+
+    steps = []
+    for name in ("swept", "written"):
+        monkeypatch.setattr(near_dedup, name, lambda *a, f=getattr(near_dedup, name), n=name, **k: (steps.append(n), f(*a, **k))[1])
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40)) + f" x{i // 2}") for i in range(8)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()}
+    assert got == dict.fromkeys(range(8), 0)
+    assert steps[0] == steps[-1] == "swept" and steps.count("swept") >= 8
