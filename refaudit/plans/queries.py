@@ -17,6 +17,7 @@ from ..operators import segment as G
 from ..sources import corpus as C
 from ..sources import lookup as H
 from ..sources import works as W
+from ..tables import swept, written
 
 KEY = ["doc_id", "ref_no"]
 FIELDS = W.CANDIDATE
@@ -279,6 +280,13 @@ def scr01_evidence(spark, d):
     return _scored_by_doi(spark, d).select(*KEY, F.array_join("match.evidence", "; ").alias("evidence"))
 
 
+def _at_hand(spark, d):
+    """The works, written: what takes them and the references made of them several times joins the order tables once."""
+    w = written(C.works(spark, d))
+    swept(spark)
+    return w
+
+
 def ranked_without_doi(spark, d):
     keyed = J.with_keys(C.references(spark, d)).where("ref_doi is null")
     return J.ranked(J.scored(keyed.join(J.candidates(keyed.select(*KEY, "ref_tokens"), _works(spark, d), KEY), KEY), explain=False), KEY)
@@ -294,8 +302,9 @@ def win08_gap(spark, d):
 
 # Audit and reports
 
-def _audit(spark, d):
-    return A.audit(C.references(spark, d), _works(spark, d), KEY)
+def _audit(spark, d, w=None):
+    w = _at_hand(spark, d) if w is None else w
+    return A.audit(C.references(spark, d, w), w.select(*FIELDS), KEY)
 
 
 def scr02_audit(spark, d):
@@ -322,7 +331,8 @@ def snk02_response(spark, d):
 
 
 def str01_events(spark, d):
-    return R.events(C.documents(spark, d), _audit(spark, d)).select("doc_id", F.col("seq").cast("long").alias("seq"), "event", "value")
+    w = _at_hand(spark, d)
+    return R.events(C.documents(spark, d, w), _audit(spark, d, w)).select("doc_id", F.col("seq").cast("long").alias("seq"), "event", "value")
 
 
 def str03_backoff(spark, d):

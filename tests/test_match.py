@@ -9,9 +9,11 @@ from refaudit.functions import text as T
 from refaudit.operators import audit as A
 from refaudit.operators import match as J
 from refaudit.operators.remote import audit_remote
+from refaudit.plans.queries import QUERIES
 from refaudit.sources import lookup as H
 from refaudit.sources import works as W
 from refaudit.streaming.progress import finished, read_event_stream
+from refaudit.tables import in_slices, swept
 
 CAND = "struct<source:string,doi:string,title:string,authors:string,containerTitle:string,year:int,volume:string,issue:string,pages:string,publisher:string,url:string,crossrefScore:double>"
 
@@ -252,3 +254,47 @@ def test_more_chunks_than_cores(spark):
     asked = spark.createDataFrame(refs, "id int, reference string").withColumn("ref_tokens", T.token_set(F.col("reference")))
     got = {(x.id, x.ord): x.doi for x in J.candidates(asked, spark.createDataFrame(works, WORK), ["id"], block=25, chunk=9).select("id", "ord", "cand.doi").collect()}
     assert got == _by_brute_force(refs, works, 8)
+
+
+def test_slices_lose_no_reference(spark):
+    """References go slice by slice past their candidates: every one comes out once, as from one slice, with or without any."""
+    r = random.Random(3)
+    works = spark.createDataFrame([cand(doi=f"10.1/{i:03d}", title=f"red ring {r.choice('abc')} n{i % 9}", authors="A. Ink", year=2019) for i in range(60)], WORK)
+    refs = spark.createDataFrame([(i, f"Ink, A. 2019. Red ring n{i % 11}.") for i in range(50)] + [(100, "zzz"), (101, ""), (102, None)], "id int, reference string")
+    pick = lambda df: df.select("id", "rank", "cand.doi", "match.score", "n_candidates")
+    one, many = ({tuple(x) for x in J.ranked_candidates(refs, works, ["id"], pick, how="left", slices=n).collect()} for n in (1, 3))
+    assert one == many and {x[0] for x in one} == {*range(50), 100, 101, 102}
+    assert len(one) == 50 * 8 + 3 and {x[2:] for x in one if x[0] > 99} == {(None, 0.0, 1)}
+
+
+def test_audit_gives_a_row_for_each_reference_of_any_kind(spark):
+    works = spark.createDataFrame([cand(doi=f"10.1000/{i}", title=f"Red rings of n{i}", authors="A. Ink", containerTitle="Journal of Rings", year=2019) for i in range(30)], WORK)
+    refs = [(i, f"A. Ink. 2019. Red rings of n{i}. Journal of Rings." + (f" doi:10.1000/{i}" if i % 2 else "")) for i in range(40)] + [(99, None)]
+    got = {x.id: x for x in A.audit(spark.createDataFrame(refs, "id int, reference string"), works, ["id"]).collect()}
+    assert sorted(got) == [x for x, _ in refs]
+    assert all(got[i].doi == f"10.1000/{i}" for i in range(30)) and all(got[i].confidence == ("high" if i % 2 else "medium") for i in range(30))
+    assert got[31].summary.endswith("404.") and got[99].doi is None and got[99].evidence == []
+
+
+def test_a_sweep_lets_go_of_what_python_gave_up(spark):
+    """Before the driver collects its garbage, not up to a second later, when the next step's shuffles lie beside the last one's."""
+    pending = spark.sparkContext._gateway._gateway_client.finalizer_deque
+    left = 0
+    for _ in range(8):
+        given_up = [spark.range(i) for i in range(20)]
+        del given_up
+        swept(spark)
+        left += len(pending)
+    assert not left
+
+
+@pytest.mark.parametrize("name", ["scr02_audit"])
+def test_order_tables_are_joined_once(spark, name):
+    """Works and the references made of them come from one written table; the result joins no order tables again."""
+    assert not [f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles() if "/root/testdata" in f]
+
+
+def test_slices_add_up(spark):
+    df = spark.range(100).withColumn("x", F.when(F.col("id") % 10 > 0, F.col("id")))
+    for n in (1, 4):
+        assert sorted(r.id for r in in_slices(n, ["x"], lambda own: own(df)).collect()) == list(range(100))
