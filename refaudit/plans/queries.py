@@ -17,7 +17,7 @@ from ..operators import segment as G
 from ..sources import corpus as C
 from ..sources import lookup as H
 from ..sources import works as W
-from ..tables import swept, written
+from ..tables import in_slices, swept, written
 
 KEY = ["doc_id", "ref_no"]
 FIELDS = W.CANDIDATE
@@ -325,9 +325,17 @@ def prj11_links(spark, d):
 
 
 def snk02_response(spark, d):
-    docs = C.documents(spark, d).withColumns({"processed": T.strip_headers(F.col("text")), "raw": F.col("text"), "cleaned": F.col("text"), "debug": F.array(F.lit("trace"))})
-    r = R.responses(docs, _audit(spark, d))
-    return r.select("doc_id", "filename", "totalCharacters", F.col("referencesFound").cast("long").alias("referencesFound"), F.col("references")[0]["reference"].alias("first_reference"), F.col("debugOutput").isNull().alias("no_debug"))
+    w = _at_hand(spark, d)
+    docs = C.documents(spark, d, w).withColumns({"processed": T.strip_headers(F.col("text")), "raw": F.col("text"), "cleaned": F.col("text"), "debug": F.array(F.lit("trace"))})
+    # Of each audited reference the response shows its text alone; the rest would be collected only to be dropped.
+    a = _audit(spark, d, w).select(*KEY, "reference")
+
+    def one(own):
+        r = R.responses(own(docs), own(a))
+        return r.select("doc_id", "filename", "totalCharacters", F.col("referencesFound").cast("long").alias("referencesFound"), F.col("references")[0]["reference"].alias("first_reference"), F.col("debugOutput").isNull().alias("no_debug"))
+
+    # All texts meet twice, as lines of documents and as references: a slice of the documents for each million of them, 8 at most.
+    return in_slices(min(8, -(-w.count() // (1 << 20)) or 1), ["doc_id"], one)
 
 
 def str01_events(spark, d):

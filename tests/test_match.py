@@ -294,6 +294,16 @@ def test_order_tables_are_joined_once(spark, name):
     assert not [f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles() if "/root/testdata" in f]
 
 
+def test_a_response_collects_only_what_it_shows(spark, monkeypatch):
+    from refaudit.plans import queries as Q
+
+    plans = []
+    monkeypatch.setattr(Q, "in_slices", lambda n, keys, step: plans.append(step(lambda df: df)) or plans[0])
+    assert Q.snk02_response(spark, "/root/testdata/sf0.001").count() > 0
+    plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "overlap" not in plan and "Crossref" not in plan
+
+
 def test_slices_add_up(spark):
     df = spark.range(100).withColumn("x", F.when(F.col("id") % 10 > 0, F.col("id")))
     for n in (1, 4):
