@@ -287,17 +287,19 @@ def _at_hand(spark, d):
     return w
 
 
-def ranked_without_doi(spark, d):
-    keyed = J.with_keys(C.references(spark, d)).where("ref_doi is null")
-    return J.ranked(J.scored(keyed.join(J.candidates(keyed.select(*KEY, "ref_tokens"), _works(spark, d), KEY), KEY), explain=False), KEY)
+def ranked_without_doi(spark, d, pick):
+    w = _at_hand(spark, d)
+    refs = C.references(spark, d, w).where(M.extract_doi(F.col("reference")).isNull())
+    return J.ranked_candidates(refs, w.select(*FIELDS), KEY, pick)
 
 
 def win07_rank(spark, d):
-    return ranked_without_doi(spark, d).select(*KEY, F.col("rank").cast("long").alias("rank"), F.col("cand.doi").alias("doi"), _six(F.col("match.score")).alias("score"))
+    return ranked_without_doi(spark, d, lambda r: r.select(*KEY, F.col("rank").cast("long").alias("rank"), F.col("cand.doi").alias("doi"), _six(F.col("match.score")).alias("score")))
 
 
 def win08_gap(spark, d):
-    return ranked_without_doi(spark, d).where("rank = 1").select(*KEY, _six(F.col("match.score") - F.col("next_score")).alias("gap"), (F.col("match.score") - F.col("next_score") < A.CLOSE_GAP).alias("close"))
+    gap = F.col("match.score") - F.col("next_score")
+    return ranked_without_doi(spark, d, lambda r: r.where("rank = 1").select(*KEY, _six(gap).alias("gap"), (gap < A.CLOSE_GAP).alias("close")))
 
 
 # Audit and reports

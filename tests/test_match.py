@@ -288,7 +288,7 @@ def test_a_sweep_lets_go_of_what_python_gave_up(spark):
     assert not left
 
 
-@pytest.mark.parametrize("name", ["scr02_audit"])
+@pytest.mark.parametrize("name", ["scr02_audit", "win07_rank"])
 def test_order_tables_are_joined_once(spark, name):
     """Works and the references made of them come from one written table; the result joins no order tables again."""
     assert not [f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles() if "/root/testdata" in f]
